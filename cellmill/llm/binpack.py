@@ -18,6 +18,7 @@ tokenizers library, each distinct word of a batch once.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 
@@ -27,13 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import shared_vocabulary
+from .bpe import Runs, Splitter, shared_vocabulary
 from .files import made_folder, opened, read_range
 from .scratch import new_dir, written
 from .textbatch import gathered, pieces, plain, words
 
 MAGIC = b"CMIDS001"
 BLOCK = 4096
+#: Words or pre-tokens that a worker remembers at most; beyond it, it starts anew.
 REMEMBERED = 500_000
 
 
@@ -126,10 +128,12 @@ class Reader:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct word.
+    """The tokenizers library, asked once for each distinct pre-token.
 
     The vocabulary's normalizer and splitter never look across white space, so
-    a text's ids are those of its words.
+    a text's ids are those of its words, and a word's those of its pre-tokens.
+    Each pre-token's last id, and no other, is of a token with the suffix that
+    ends words; so many pre-tokens go through the library as one line.
     """
 
     def __init__(self, vocabulary: str):
@@ -142,31 +146,42 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
+        self.splitter = Splitter(json.loads(vocabulary))
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith(self.splitter.suffix) or token in self.splitter.special
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.tokens = Runs(), Runs()
+
+    def _asked(self, tokens: list[str]) -> None:
+        """Learn the ids of new pre-tokens."""
+        for at in range(0, len(tokens), 8192):
+            some = tokens[at : at + 8192]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(some):  # not one run a pre-token: each by itself
+                each = [x.ids for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                ids, last = np.array([i for x in each for i in x], np.int64), np.cumsum([len(x) for x in each]) - 1
+            self.tokens.add(some, ids, np.diff(last, prepend=-1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and how many each has."""
         codes, distinct, offsets = words(texts)
         named = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.words.known) > REMEMBERED or len(self.tokens.known) > REMEMBERED:
             self._forget()
-        if new := [x for x in named if x and x not in self.known]:
-            ids: list[list[int]] = []
-            for at in range(0, len(new), 4096):
-                ids += [x.ids for x in self.library.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.start = np.append(self.start, len(self.flat) + np.cumsum(count) - count)
-            self.count = np.append(self.count, count)
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum())))
-        place = np.fromiter((self.known.get(x, 0) for x in named), np.int64, len(named))[codes]
-        size = self.count[place]
-        ends = np.concatenate(([0], np.cumsum(size)))[offsets]
-        return self.flat[gathered(self.start[place], size)], np.diff(ends)
+        if new := [x for x in named if x and x not in self.words.known]:
+            split = [self.splitter.split(x) for x in new]
+            flat = [x for parts in split for x in parts]
+            self._asked([x for x in dict.fromkeys(flat) if x not in self.tokens.known])
+            ids, size = self.tokens.runs(self.tokens.places(flat))
+            ends = np.concatenate(([0], np.cumsum(size)))
+            stop = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+            self.words.add(new, ids, np.diff(ends[stop], prepend=0))
+        ids, size = self.words.runs(self.words.places(named)[codes])
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[offsets])
 
 
 _MADE: dict[str, Encoder] = {}
@@ -199,7 +214,7 @@ def write(docs: DataFrame, vocabulary_path: str, folder: str | None = None, end_
         number, file, encoder = TaskContext.get().partitionId(), None, worker_encoder(vocabulary.value)
         for batch in batches:
             texts, at = plain(batch.column(1)), 0
-            for run in pieces(texts):
+            for run in pieces(texts, 8 << 20):
                 if file is None:
                     path = f"{folder}/ids-{number:06d}-{uuid.uuid4().hex}.bin"
                     file = Writer(path, bits_for(max(encoder.size, end_id + 1)))

@@ -27,11 +27,60 @@ from pyspark.sql import functions as F
 
 from .textbatch import gathered, in_pieces, words
 
-#: Words that a worker remembers at most; beyond it, it starts anew.
+#: Words or pre-tokens that a worker remembers at most; beyond it, it starts anew.
 REMEMBERED = 400_000
 NONE = np.iinfo(np.int64).max
 
 
+class Splitter:
+    """Words to pre-tokens, as the vocabulary's normalizer and splitter say."""
+
+    def __init__(self, told: dict):
+        self.suffix = told["model"]["end_of_word_suffix"] or ""
+        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
+        self.parts = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.marks = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
+
+    def split(self, word: str) -> list[str]:
+        """The pre-tokens of a word; special tokens as they are."""
+        if "<" in word and self.marks.search(word):
+            out, at = [], 0
+            for m in self.marks.finditer(word):
+                out += [*self._plain(word[at : m.start()]), m[0]]
+                at = m.end()
+            return out + self._plain(word[at:])
+        return self._plain(word)
+
+    def _plain(self, word: str) -> list[str]:
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+            if "Σ" in word:  # lower case goes character by character
+                word = "".join(c.lower() for c in word)
+        word = word.lower()
+        return [word] if word.isalpha() else self.parts.findall(word)
+
+
+class Runs:
+    """Runs of ids by name."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(counts) - counts)
+        self.count = np.append(self.count, counts)
+        self.flat = np.append(self.flat, ids)
+
+    def places(self, names: list[str]) -> np.ndarray:
+        return np.fromiter((self.known.get(x, 0) for x in names), np.int64, len(names))
+
+    def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.count[places] if len(self.count) else np.zeros(0, np.int64)
+        return self.flat[gathered(self.start[places] if len(self.start) else size, size)], size
+
+
 class WordBPE:
     """Ids of texts by a vocabulary whose words end in a suffix (``</w>``)."""
 
@@ -39,11 +88,10 @@ class WordBPE:
         told = json.loads(vocabulary)
         model = told["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        suffix = model["end_of_word_suffix"] or ""
-        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
-        self.size = 1 + max([*self.vocab.values(), *self.special.values()])
+        self.splitter = Splitter(told)
+        self.size = 1 + max([*self.vocab.values(), *self.splitter.special.values()])
         names = [""] * self.size
-        for name, i in [*self.vocab.items(), *self.special.items()]:
+        for name, i in [*self.vocab.items(), *self.splitter.special.items()]:
             names[i] = name
         self.names = pa.array(names, pa.large_string())
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
@@ -53,20 +101,13 @@ class WordBPE:
         self.keys, self.ranks, self.made = key[order], order.astype(np.int64), made
         shown = _shown_bytes()
         self.inner = np.array([self.vocab[c] for c in shown], np.int64)
-        self.final = np.array([self.vocab[c + suffix] for c in shown], np.int64)
-        self.parts = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.marks = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
+        self.final = np.array([self.vocab[c + self.splitter.suffix] for c in shown], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _tokens(self, word: str) -> list[str]:
-        """The pre-tokens of a raw word that holds no special token."""
-        word = unicodedata.normalize("NFC", word)
-        word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
-        return [word] if word.isalpha() else self.parts.findall(word)
+        self.words, self.tokens = Runs(), Runs()
+        special = self.splitter.special
+        self.tokens.add(list(special), np.array(list(special.values()), np.int64), np.ones(len(special), np.int64))
 
     def _rounds(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens one after the other, and how many each has."""
@@ -116,45 +157,22 @@ class WordBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def _learn(self, new: list[str]) -> None:
-        tokens, whose, fixed = [], [], []
-        for i, word in enumerate(new):
-            if "<" in word and self.marks.search(word):
-                at = 0
-                for m in [*self.marks.finditer(word), None]:
-                    for x in self._tokens(word[at : m.start() if m else None]):
-                        tokens.append(x)
-                        whose.append(i)
-                    if m:
-                        tokens.append("x")  # its place; the id is set below
-                        whose.append(i)
-                        fixed.append((len(tokens) - 1, self.special[m[0]]))
-                        at = m.end()
-            else:
-                for x in self._tokens(word):
-                    tokens.append(x)
-                    whose.append(i)
-        ids, count = self._rounds(tokens)
-        for k, special in fixed:
-            ids[count[:k].sum()] = special
-        count = np.bincount(np.array(whose, np.int64), weights=count, minlength=len(new)).astype(np.int64)
-        base = len(self.flat)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.start = np.append(self.start, base + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
-        self.flat = np.append(self.flat, ids)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and where each text's begin."""
         codes, distinct, offsets = words(texts)
         named = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.words.known) > REMEMBERED or len(self.tokens.known) > REMEMBERED:
             self._forget()
-        if new := [x for x in named if x not in self.known and x]:
-            self._learn(new)
-        place = np.fromiter((self.known.get(x, 0) for x in named), np.int64, len(named))[codes]
-        size = self.count[place]
-        ids = self.flat[gathered(self.start[place], size)]
+        if new := [x for x in named if x and x not in self.words.known]:
+            split = [self.splitter.split(x) for x in new]
+            flat = [x for parts in split for x in parts]
+            if tokens := [x for x in dict.fromkeys(flat) if x not in self.tokens.known]:
+                self.tokens.add(tokens, *self._rounds(tokens))
+            ids, size = self.tokens.runs(self.tokens.places(flat))
+            ends = np.concatenate(([0], np.cumsum(size)))
+            stop = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+            self.words.add(new, ids, np.diff(ends[stop], prepend=0))
+        ids, size = self.words.runs(self.words.places(named)[codes])
         return ids, np.concatenate(([0], np.cumsum(size)))[offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
