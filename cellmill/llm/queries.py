@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, decontam, langid, secrets, simhash, toxicity, warc
+from . import binpack, bpe, decontam, langid, mtree, secrets, simhash, toxicity, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,11 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, VOCABULARY).select("doc_id", "bpe.*")
@@ -62,9 +67,20 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op9_language_id, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op9_language_id, op10_warc_revisits)}
 
 ORACLE_SQL = {
+    "op1_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda k: q.e[k] * c.e[k])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op10_warc_revisits": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d,
