@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, decontam, langid, mtree, secrets, simhash, toxicity, warc
+from . import binpack, bpe, decontam, langid, mtree, secrets, simhash, suffixdedup, toxicity, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,6 +55,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out("doc_id", 4, 2)
@@ -67,7 +71,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op9_language_id, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits)}
 
 ORACLE_SQL = {
     "op1_exact_top_k": """

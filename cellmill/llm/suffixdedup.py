@@ -60,7 +60,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0xD1342543DE82EF95
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(n, b))).astype(np.uint64)) for b in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))]
+        _POWERS[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
 
