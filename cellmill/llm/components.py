@@ -24,7 +24,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         others = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = others.unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    return out.where("a > b")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -37,7 +37,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0] or state == seen:
             break
         seen = state
-        after = written(_star(_star(now, True), False), "links")
+        after = written(_star(_star(now, True), False).distinct(), "links")
         dropped(now.sparkSession, now)
         now = after
     else:

@@ -40,7 +40,7 @@ from .textbatch import in_pieces
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of one signature that are compared with one another; larger
 #: groups are divided by further bits first.
-GROUP = 256
+GROUP = 2048
 #: Partition counts that the dynamic program chooses from, and the largest
 #: threshold of a partition.
 PARTITIONS, MOST_MASKED = (2, 3, 4), 2
@@ -207,7 +207,6 @@ def links(prints: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
         found = small.select("k", "v", "f").repartition("k", "v").sortWithinPartitions("k", "v").mapInArrow(lambda x: linked(x, tau), "a bigint, b bigint")
         out = found if out is None else out.unionByName(found)
         large = sizes.where(F.col("c") > group)
-        # a mask without at least 12 free bits has few fingerprints; those are compared as they are
         ask = [r["k"] for r in large.select("k").distinct().collect()]
         if not ask:
             return out
@@ -230,41 +229,33 @@ def linked(batches, tau: int):
     yield from _forest(rest, tau)
 
 
-def _forest(rows: np.ndarray, tau: int, most_pairs: int = 2_000_000):
+def _forest(rows: np.ndarray, tau: int, most_pairs: int = 1_000_000):
     if len(rows) < 2:
         return
     head = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
     size = np.diff(np.append(head, len(rows)))
-    f = rows[:, 2].view(np.uint64) if rows[:, 2].flags.c_contiguous else np.ascontiguousarray(rows[:, 2]).view(np.uint64)
-    # each row is compared with those after it in its group
+    f = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+    # each row is compared with those after it in its group, some million pairs at a time
     after = np.repeat(head + size, size) - np.arange(len(rows)) - 1
-    at = 0
     ends = np.cumsum(after)
-    left, right = [], []
+    root, at = np.arange(len(rows)), 0
     while at < len(rows):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_pairs)))
         n = after[at:stop]
         a = np.repeat(np.arange(at, stop), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         near = np.bitwise_count(f[a] ^ f[b]) <= tau
-        left.append(a[near])
-        right.append(b[near])
-        at = stop
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = np.arange(len(rows))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(rows)))
+        a, b, at = a[near], b[near], stop
+        while len(a):
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            open_ = low != high
+            a, b = a[open_], b[open_]
+            np.minimum.at(root, high[open_], low[open_])
+            while (root[root] != root).any():
+                root = root[root]
+    own = np.flatnonzero(root != np.arange(len(rows)))
     if len(own):
-        pairs = np.unique(np.stack([f[own], f[label[own]]], axis=1), axis=0).view(np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        pairs = np.unique(np.stack([f[own], f[root[own]]], axis=1), axis=0).view(np.int64)
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
