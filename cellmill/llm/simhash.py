@@ -41,6 +41,9 @@ BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of one signature that are compared with one another; larger
 #: groups are divided by further bits first.
 GROUP = 2048
+#: With so few bits outside a mask, a group has few members (2 ** FEW) and is
+#: compared as it is.
+FEW = 11
 #: Partition counts that the dynamic program chooses from, and the largest
 #: threshold of a partition.
 PARTITIONS, MOST_MASKED = (2, 3, 4), 2
@@ -189,9 +192,8 @@ def masks(prints: DataFrame, tau: int = TAU) -> tuple[list[int], list[int]]:
 def divided(mask: int, order: list[int], tau: int) -> list[int]:
     """Masks that hold ``mask`` and one of tau + 1 parts of the other bits."""
     rest = [b for b in order if not (mask >> b) & 1]
-    size = -(-len(rest) // (tau + 1))
     own = [b for b in range(BITS) if (mask >> b) & 1]
-    return [mask_of(own + rest[k : k + size]) for k in range(0, len(rest), size)]
+    return [mask_of(own + part.tolist()) for part in np.array_split(np.array(rest), tau + 1)]
 
 
 def links(prints: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
@@ -203,10 +205,11 @@ def links(prints: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
     while True:
         sizes = table.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1")
         sizes = written(sizes, "groups")
-        small = table.join(sizes.where(F.col("c") <= group).select("k", "v"), ["k", "v"])
+        fits = (F.col("c") <= group) | (F.bit_count("k") >= BITS - FEW)
+        small = table.join(sizes.where(fits).select("k", "v"), ["k", "v"])
         found = small.select("k", "v", "f").repartition("k", "v").sortWithinPartitions("k", "v").mapInArrow(lambda x: linked(x, tau), "a bigint, b bigint")
         out = found if out is None else out.unionByName(found)
-        large = sizes.where(F.col("c") > group)
+        large = sizes.where(~fits)
         ask = [r["k"] for r in large.select("k").distinct().collect()]
         if not ask:
             return out
