@@ -33,7 +33,7 @@ from .scratch import written
 from .textbatch import in_pieces, pieces, plain, words
 
 #: Rows of each kind that the field is fitted to, at most, and their length.
-MOST_ROWS, MOST_CHARS = 1_500, 20_000
+MOST_ROWS, MOST_CHARS = 500, 8_000
 #: Words and stems with odds of their own, at most; each must occur in so many texts.
 MOST_WORDS, LEAST_TEXTS = 20_000, 4
 #: Lengths of stems; a stem is marked by a hyphen.
@@ -170,7 +170,7 @@ def marginals(score: np.ndarray, steps: np.ndarray, offsets: np.ndarray) -> tupl
     return p[:, 1], pair
 
 
-def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, rounds: int = 150, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, rounds: int = 100, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and steps of the largest likelihood, by Adam over the whole sample."""
     size = 1 + len(f) * BINS
     x = np.zeros(size + 4)
