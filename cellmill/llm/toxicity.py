@@ -44,6 +44,8 @@ LEAST_ODDS = 1.0
 #: lies over the share TOXIC is a toxic word; what has no odds is in bin 0.
 EDGES = np.array([0.25, 0.4, 0.55, 0.65, 0.8, 0.9])
 TOXIC = 3
+#: Token probabilities under this say nothing of a text.
+NOISE = 0.05
 BINS = len(EDGES) + 1
 
 
@@ -191,7 +193,9 @@ def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, roun
 
 
 def evidence(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text: 1, and the log odds that any of its tokens is toxic."""
+    """Per text: 1, and the log odds that any of its tokens is toxic.  Tokens
+    under NOISE don't count, or long texts would add up to something."""
+    p = np.where(p < NOISE, 0.0, p)
     none = np.concatenate(([0.0], np.cumsum(np.log1p(-np.clip(p, 0, 1 - 1e-9)))))
     none = np.minimum(none[offsets[1:]] - none[offsets[:-1]], 0)
     odds = np.clip(np.log(np.maximum(-np.expm1(none), 1e-12)) - none, -10, 20)
