@@ -35,8 +35,9 @@ from .textbatch import gathered, pieces, plain, words
 
 MAGIC = b"CMIDS001"
 BLOCK = 4096
-#: Words or pre-tokens that a worker remembers at most; beyond it, it starts anew.
-REMEMBERED = 500_000
+#: Words and pre-tokens that a worker remembers, about; beyond it, it starts
+#: anew.  Words are cheap to cut again, pre-tokens cost a call of the library.
+MOST_WORDS, MOST_TOKENS = 200_000, 400_000
 
 
 def bits_for(size: int) -> int:
@@ -127,6 +128,15 @@ class Reader:
         return self.run(int(self.first[i]), int(self.sizes[i]))
 
 
+def eased(texts: pa.Array) -> pa.Array:
+    """Texts of the same ids with fewer distinct words: A to Z in lower case, and
+    a blank before punctuation that ends a word, where the splitter cuts anyway.
+    Texts with combining marks or special tokens stay as they are."""
+    if pc.any(pc.match_substring_regex(texts, r"\p{M}")).as_py() or pc.any(pc.match_substring(texts, "<|")).as_py():
+        return texts
+    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([\p{L}\p{N}])([.,;:?]+)(\s|$)", r"\1 \2\3")
+
+
 class Encoder:
     """The tokenizers library, asked once for each distinct pre-token.
 
@@ -150,9 +160,6 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith(self.splitter.suffix) or token in self.splitter.special
-        self._forget()
-
-    def _forget(self) -> None:
         self.words, self.tokens = Runs(), Runs()
 
     def _asked(self, tokens: list[str]) -> None:
@@ -168,10 +175,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and how many each has."""
-        codes, distinct, offsets = words(texts)
+        codes, distinct, offsets = words(eased(texts))
         named = distinct.to_pylist()
-        if len(self.words.known) > REMEMBERED or len(self.tokens.known) > REMEMBERED:
-            self._forget()
+        if len(self.words.known) > MOST_WORDS:
+            self.words = Runs()
+        if len(self.tokens.known) > MOST_TOKENS:
+            self.tokens = Runs()
         if new := [x for x in named if x and x not in self.words.known]:
             split = [self.splitter.split(x) for x in new]
             flat = [x for parts in split for x in parts]
@@ -214,7 +223,7 @@ def write(docs: DataFrame, vocabulary_path: str, folder: str | None = None, end_
         number, file, encoder = TaskContext.get().partitionId(), None, worker_encoder(vocabulary.value)
         for batch in batches:
             texts, at = plain(batch.column(1)), 0
-            for run in pieces(texts, 8 << 20):
+            for run in pieces(texts, 6 << 20):
                 if file is None:
                     path = f"{folder}/ids-{number:06d}-{uuid.uuid4().hex}.bin"
                     file = Writer(path, bits_for(max(encoder.size, end_id + 1)))

@@ -26,6 +26,7 @@ def pieces(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
     for i, n in enumerate(size.tolist()):
         if total and total + n > most_bytes:
             yield texts.slice(at, i - at)
+            pa.default_memory_pool().release_unused()
             at, total = i, 0
         total += n
     if at < len(texts):
