@@ -113,16 +113,22 @@ def zero_filled(counts: DataFrame, rows: DataFrame, cols: list[str], row: str, c
     return full.join(counts, [row, col], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
 
 
-def dense_ids(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Numbers from 1 for the sorted distinct values (AGG7): by ranges, each
-    numbered in its task, shifted by the sizes of those before it."""
-    names = df.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
-    local = names.withColumn("__p", F.spark_partition_id()).withColumn("__l", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = {r["__p"]: r["n"] for r in local.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row a task
-    before, starts = 0, []
-    for p in sorted(sizes):
-        starts += [F.lit(p), F.lit(before)]
-        before += sizes[p]
-    if not starts:
+def dense_ids(df: DataFrame, col: str, out: str, ranges: int = 200) -> DataFrame:
+    """Numbers from 1 for the sorted distinct values (AGG7).
+
+    Values fall into ranges between some of them, chosen by hash; each range is
+    numbered by itself, after the sizes of those before it.  The driver holds
+    the ``ranges`` edges and sizes; numbers don't depend on partitions.
+    """
+    names = df.where(F.col(col).isNotNull()).select(col).distinct()
+    edges = sorted(r[0] for r in names.orderBy(F.md5(F.col(col).cast("string")), col).limit(ranges).collect())
+    if not edges:
         return names.select(col, F.lit(1).cast("long").alias(out))
-    return local.select(col, (F.create_map(*starts)[F.col("__p")] + F.col("__l") + 1).cast("long").alias(out))
+    placed = names.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(col))))
+    sizes = {r["__b"]: r["n"] for r in placed.groupBy("__b").agg(F.count("*").alias("n")).collect()}
+    before, starts = 0, []
+    for b in sorted(sizes):
+        starts += [F.lit(b), F.lit(before)]
+        before += sizes[b]
+    n = F.row_number().over(Window.partitionBy("__b").orderBy(col))
+    return placed.select(col, (F.create_map(*starts)[F.col("__b")] + n).cast("long").alias(out))
