@@ -44,6 +44,9 @@ GROUP = 2048
 #: With so few bits outside a mask, a group has few members (2 ** FEW) and is
 #: compared as it is.
 FEW = 11
+#: What a signature costs (a row through a shuffle and a sort) against a
+#: candidate pair (an exclusive or and a count of bits in numpy).
+SIGNATURE_COST = 100
 #: Partition counts that the dynamic program chooses from, and the largest
 #: threshold of a partition.
 PARTITIONS, MOST_MASKED = (2, 3, 4), 2
@@ -181,7 +184,7 @@ def masks(prints: DataFrame, tau: int = TAU) -> tuple[list[int], list[int]]:
             if parts[k][0] == m:
                 chance = chances(p[bits], MOST_MASKED)
                 many = [pairs.get(k, 0.0) * float(chance[: t + 1].sum() / max(chance[0], 1e-30)) for t in range(MOST_MASKED + 1)]
-                costs.append([0.0] + [n * math.comb(len(bits), t) + many[t] for t in range(MOST_MASKED + 1)])
+                costs.append([0.0] + [SIGNATURE_COST * n * math.comb(len(bits), t) + many[t] for t in range(MOST_MASKED + 1)])
         cost, thresholds = allotted(costs, tau - m + 1)
         if cost < choice[0]:
             some = [mask_of(set(bits) - set(out)) for bits, t in zip(plan, thresholds, strict=True) if t >= 0 for out in combinations(bits, t)]
