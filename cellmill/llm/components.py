@@ -15,13 +15,17 @@ from .scratch import dropped, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links(a, b) with a > b, once through a large or a small star."""
+    """links(a, b) with a > b, once through a large or a small star.
+
+    The smallest neighbours are a table of their own: both sides of the join
+    are then plain exchanges, of which Spark splits a node with very many links.
+    """
     if large:
         sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = written(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         out = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(links.groupBy("a").agg(F.min("b").alias("m")), "least")
         others = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = others.unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a > b")
@@ -37,8 +41,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0] or state == seen:
             break
         seen = state
-        after = written(_star(_star(now, True), False).distinct(), "links")
-        dropped(now.sparkSession, now)
+        middle = written(_star(now, True), "links")
+        after = written(_star(middle, False).distinct(), "links")
+        for done in (now, middle):
+            dropped(done.sparkSession, done)
         now = after
     else:
         raise RuntimeError(f"the components aren't stable after {most_rounds} rounds")
