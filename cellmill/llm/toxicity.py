@@ -75,7 +75,7 @@ def text_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
         for batch in batches:
             label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
             at = 0
-            for run in pieces(plain(batch.column(0)), 8 << 20):
+            for run in pieces(plain(batch.column(0))):
                 codes, distinct, offsets = words(run)
                 cores = core(distinct)
                 text = np.repeat(np.arange(len(run)), np.diff(offsets))
@@ -122,38 +122,48 @@ def _scores(weights: np.ndarray, f: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _messages(emit: np.ndarray, steps: np.ndarray, head: np.ndarray, block: int = 128) -> np.ndarray:
-    """Forward messages (n x 2, normalised) of a chain that starts anew at ``head``."""
+    """Forward messages (n x 2, normalised) of a chain that starts anew at ``head``.
+
+    All blocks go forward together: first their products of 2 x 2 matrices,
+    then, from the message that enters each block, the messages inside.
+    """
     n = len(emit)
     rows = -(-n // block)
-    m = np.empty((rows * block, 2, 2))
-    m[:n] = steps * emit[:, None, :]
-    m[:n][head] = emit[head][:, None, :]  # whatever came before, the message is the emission
-    m[n:] = np.eye(2)
-    m = m.reshape(rows, block, 2, 2)
-    whole = np.broadcast_to(np.eye(2), (rows, 2, 2)).copy()
-    for j in range(block):
-        whole = whole @ m[:, j]
-        whole /= whole.sum(axis=(1, 2), keepdims=True)
-    into = np.empty((rows, 1, 2))
-    v = np.array([[0.5, 0.5]])
-    for i in range(rows):
-        into[i] = v
-        v = v @ whole[i]
-        v = v / v.sum()
-    out = np.empty((rows, block, 2))
-    for j in range(block):
-        into = into @ m[:, j]
-        into /= into.sum(axis=2, keepdims=True)
-        out[:, j] = into[:, 0]
-    return out.reshape(-1, 2)[:n]
-
-
-def marginals(score: np.ndarray, steps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of state 1 of each token, and the expected transitions (n x 2 x 2;
-    those into the first token of a text are zero)."""
+    m = np.zeros((2, 2, rows * block))
+    for i in (0, 1):
+        for j in (0, 1):
+            m[i, j, :n] = np.where(head, 1.0, steps[i, j]) * emit[:, j]
+    m[0, 0, n:] = m[1, 1, n:] = 1.0
+    m = np.ascontiguousarray(m.reshape(2, 2, rows, block).transpose(3, 0, 1, 2))
+    a, b, c, d = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
+    for k in range(block):
+        (m00, m01), (m10, m11) = m[k]
+        a, b, c, d = a * m00 + b * m10, a * m01 + b * m11, c * m00 + d * m10, c * m01 + d * m11
+        if k % 4 == 3:
+            size = a + b + c + d
+            a, b, c, d = a / size, b / size, c / size, d / size
+    into = np.empty((rows, 2))
+    v, w = 0.5, 0.5
+    for i, (p, q, r, s) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)):
+        into[i] = v, w
+        v, w = v * p + w * r, v * q + w * s
+        v, w = v / (v + w), w / (v + w)
+    out = np.empty((block, 2, rows))
+    v, w = into[:, 0], into[:, 1]
+    for k in range(block):
+        (m00, m01), (m10, m11) = m[k]
+        v, w = v * m00 + w * m10, v * m01 + w * m11
+        size = v + w
+        out[k, 0], out[k, 1] = v, w = v / size, w / size
+    return out.transpose(2, 0, 1).reshape(-1, 2)[:n]
+
+
+def marginals(score: np.ndarray, steps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of state 1 of each token, and the messages from before (with
+    the token's emission) and from after (likewise)."""
     n = len(score)
     if not n:
-        return np.zeros(0), np.zeros((0, 2, 2))
+        return np.zeros(0), np.zeros((0, 2)), np.zeros((0, 2))
     score = np.clip(score, -30, 30)
     emit = np.stack([1 / (1 + np.exp(score)), 1 / (1 + np.exp(-score))], axis=1)
     full = np.diff(offsets) > 0
@@ -162,14 +172,16 @@ def marginals(score: np.ndarray, steps: np.ndarray, offsets: np.ndarray) -> tupl
     tail[offsets[1:][full] - 1] = True
     step = np.exp(steps)
     alpha = _messages(emit, step, head)
-    gamma = _messages(emit[::-1], step.T, tail[::-1])[::-1]  # backward message times the emission
+    gamma = _messages(emit[::-1], step.T, tail[::-1])[::-1]
     p = alpha * gamma / emit
-    p /= p.sum(axis=1, keepdims=True)
-    pair = np.zeros((n, 2, 2))
-    inner = np.flatnonzero(~head)
-    x = alpha[inner - 1][:, :, None] * step * gamma[inner][:, None, :]
-    pair[inner] = x / x.sum(axis=(1, 2), keepdims=True)
-    return p[:, 1], pair
+    return p[:, 1] / p.sum(axis=1), alpha, gamma
+
+
+def transitions(alpha: np.ndarray, gamma: np.ndarray, steps: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Expected transitions (2 x 2), summed over the tokens ``inner`` and those
+    before them."""
+    x = alpha[inner - 1][:, :, None] * np.exp(steps) * gamma[inner][:, None, :]
+    return (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, rounds: int = 100, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -183,9 +195,10 @@ def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, roun
     first, second = np.zeros_like(x), np.zeros_like(x)
     toxic = max(1, int(state.sum()))
     for t in range(1, rounds + 1):
-        p, pair = marginals(_scores(x[:size], f), x[size:].reshape(2, 2), offsets)
+        p, alpha, gamma = marginals(_scores(x[:size], f), x[size:].reshape(2, 2), offsets)
+        moved = transitions(alpha, gamma, x[size:].reshape(2, 2), inner)
         off = p - state
-        grad = np.concatenate([[off.sum()], *(np.bincount(k, weights=off, minlength=BINS) for k in f), pair.sum(axis=0).ravel() - seen])
+        grad = np.concatenate([[off.sum()], *(np.bincount(k, weights=off, minlength=BINS) for k in f), moved.ravel() - seen])
         grad = grad / toxic + ridge * x
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         x = x - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -241,7 +254,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col
     high = np.maximum(f[0], f[1]) > TOXIC
     state = (high & (np.repeat(label, np.diff(offsets)) == 1)).astype(np.int64)
     weights, steps = _fit(f, offsets, state)
-    p, _ = marginals(_scores(weights, f), steps, offsets)
+    p, _, _ = marginals(_scores(weights, f), steps, offsets)
     return Field(table, weights, steps, _logistic(evidence(p, offsets), label))
 
 
@@ -260,7 +273,7 @@ def scored(docs: DataFrame, model: Field | None, text_col: str = "text", into: s
         else:
             codes, distinct, offsets = words(run)
             f = features(bins_of(distinct, model.odds), codes, offsets)
-            p, _ = marginals(_scores(model.weights, f), model.steps, offsets)
+            p, _, _ = marginals(_scores(model.weights, f), model.steps, offsets)
             columns = [1 / (1 + np.exp(-np.clip(evidence(p, offsets) @ model.scale, -30, 30)))]
             found = token_spans(run, p >= least, offsets) if spans else []
         parts = [pa.array(columns[0])] + [pa.array(found, fields[1][1])] * spans if spans else [pa.array(columns[0])]
