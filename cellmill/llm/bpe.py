@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .textbatch import gathered, in_pieces, words
 
 #: Words or pre-tokens that a worker remembers at most; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -65,20 +65,22 @@ class Runs:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.count = (np.zeros(0, np.int32) for _ in range(3))
 
     def add(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(counts) - counts)
-        self.count = np.append(self.count, counts)
-        self.flat = np.append(self.flat, ids)
+        self.start = np.append(self.start, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32))
+        self.count = np.append(self.count, counts.astype(np.int32))
+        self.flat = np.append(self.flat, ids.astype(np.int32))
 
     def places(self, names: list[str]) -> np.ndarray:
-        return np.fromiter((self.known.get(x, 0) for x in names), np.int64, len(names))
+        return np.fromiter((self.known.get(x, 0) for x in names), np.int32, len(names))
 
     def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.count[places] if len(self.count) else np.zeros(0, np.int64)
-        return self.flat[gathered(self.start[places] if len(self.start) else size, size)], size
+        if not len(self.count):
+            return np.zeros(0, np.int32), np.zeros(len(places), np.int64)
+        size = self.count[places].astype(np.int64)
+        return self.flat[gathered(self.start[places], size)], size
 
 
 class WordBPE:
@@ -234,6 +236,25 @@ def decoded(ids: Column, vocabulary) -> Column:
     return run(ids)
 
 
+def tokenised(docs: DataFrame, vocabulary_path: str, text_col: str = "text", into: str = "tokens") -> DataFrame:
+    """``docs`` with a struct column ``into``: the ids of each text and the text
+    decoded from them, in one pass."""
+    vocabulary = shared_vocabulary(docs.sparkSession, vocabulary_path)
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+    def work(run: pa.Array) -> pa.Array:
+        bpe = worker_bpe(vocabulary)
+        ids, offsets = bpe.encode(run)
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.StructArray.from_arrays([lists, bpe.decode(ids, offsets).cast(pa.string())], fields=list(kind))
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(texts, work, kind)
+
+    return docs.withColumn(into, run(F.col(text_col)))
+
+
 ROUND_TRIP = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
