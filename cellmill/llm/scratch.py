@@ -22,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="cellmill-")
         named = _LOCAL[app]
-    if "://" not in named and not named.startswith("file:"):
-        named = f"file://{named}"
+    if "://" not in named:
+        named = f"file://{named.removeprefix('file:')}"
     return named.rstrip("/")
 
 
