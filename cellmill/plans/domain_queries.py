@@ -256,18 +256,19 @@ WILCOXON = f"""{NORM}, {CELLS}, grp AS (SELECT cell, puck AS grp FROM cells WHER
 
 @query(f"""WITH {WILCOXON} SELECT gene, grp, n_in, n_out, rank_sum, round((rank_sum - n_in * (n + 1) / 2.0) / sqrt(n_in * n_out * (n + 1) / 12.0), 6) AS z, round(k / n_in, 6) AS pct_in, round((kall - k) / n_out, 6) AS pct_out FROM o""")
 def wilcoxon_rank_sums(spark: SparkSession, sf: str) -> DataFrame:
-    """The genes of the first two hundred parts: the test itself ranks all it is given."""
-    return tested(spark, sf).select("gene", "grp", "n_in", "n_out", "rank_sum", r6("z").alias("z"), r6("pct_in").alias("pct_in"), r6("pct_out").alias("pct_out"))
+    """The genes of the first two hundred parts, as the SQL takes them."""
+    return tested(spark, sf, "gene <= 200").select("gene", "grp", "n_in", "n_out", "rank_sum", r6("z").alias("z"), r6("pct_in").alias("pct_in"), r6("pct_out").alias("pct_out"))
 
 
-def tested(spark: SparkSession, sf: str) -> DataFrame:
+def tested(spark: SparkSession, sf: str, genes: str = "true") -> DataFrame:
     x = norm(spark, sf)
     groups = t.cells(spark, sf).select("cell", F.col("puck").alias("grp")).join(x.select("cell"), "cell", "left_semi")
-    return stats.rank_sums(x.where("gene <= 200"), groups)
+    return stats.rank_sums(x.where(genes), groups)
 
 
 @query()
 def wilcoxon_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every gene, so that p-values are adjusted for all tests of a group."""
     p = tested(spark, sf).withColumn("p", F.coalesce(stats.two_sided_p(F.col("z")), F.lit(1.0)))
     return stats.benjamini_hochberg(p, "p", ["grp"], "gene").select("gene", "grp", r6("p").alias("p"), r6("p_adj").alias("p_adj"))
 
