@@ -3,22 +3,23 @@
 Texts become words of letters and digits in lower case.  A fixed mask names
 which words of a stretch count; the hash of those words joins texts with
 benchmark items whatever stands at the ignored places.  Around each hit the
-texts are laid side by side on its diagonal, and the stretch of the best score
-there (+1 for an equal word, a penalty that balances at the wanted share of
-equal words) is an overlap if it is long enough.
+texts are laid side by side on its diagonal, and the longest stretch there
+that has the wanted share of equal words is an overlap if it is long enough.
 
-The masks together hit every stretch of LEAST words of which a fifth is
-replaced (a test proves it for all placements), so that no overlap which
-would pass the verification is missed.
+The masks together hit every stretch of LEAST words or more of which a fifth
+is replaced, and every shorter item (tests prove it for all placements), so
+that no overlap which would pass the verification is missed.
 
 Edge cases: null and empty texts and items overlap nothing; an item shorter
-than LEAST words must occur in full, with a fifth replaced at most, and at
-least the shortest mask long; null ids are kept; repeated rows each get their
+than LEAST words must occur in full, with a fifth replaced at most, and have
+at least SHORTEST words; null ids are kept; repeated rows each get their
 overlaps; empty tables give empty tables; texts are searched whole.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,8 +31,14 @@ from .textbatch import pieces, plain, words
 
 #: Which words of a stretch a seed hashes (1) and which it ignores (0).
 MASKS = ("11111", "110111")
+#: Those that items of fewer than LEAST words need besides.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
 #: Words that an overlap covers at least, and the share of equal ones.
 LEAST, SHARE = 12, 0.8
+#: Words of the shortest item that is searched for.
+SHORTEST = 5
+_KEPT, _LOST = Fraction(SHARE).limit_denominator(1000).as_integer_ratio()
+_LOST -= _KEPT
 #: Benchmark words searched for in one pass; a longer benchmark takes several.
 PASS_WORDS = 1 << 20
 FOUND = "doc_id bigint, item_id bigint, start_word int, n_words int, n_equal int"
@@ -66,8 +73,11 @@ class Benchmark:
         self.hashes, self.offsets = word_hashes(texts)
         self.item = np.repeat(np.arange(len(ids)), np.diff(self.offsets))
         self.sorted = []
-        for mask in MASKS:
+        short = np.diff(self.offsets)[self.item] < LEAST
+        for mask in MASKS + SHORT_MASKS:
             seed, at = seeds(self.hashes, self.offsets, mask)
+            if mask in SHORT_MASKS:
+                seed, at = seed[short[at]], at[short[at]]
             order = np.argsort(seed, kind="stable")
             self.sorted.append((seed[order], at[order]))
         sift = np.zeros(1 << 22, bool)
@@ -80,7 +90,7 @@ class Benchmark:
         hashes, offsets = word_hashes(texts)
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
         found = []
-        for mask, (known, places) in zip(MASKS, self.sorted, strict=True):
+        for mask, (known, places) in zip(MASKS + SHORT_MASKS, self.sorted, strict=True):
             if not len(known):
                 continue
             seed, at = seeds(hashes, offsets, mask)
@@ -106,23 +116,23 @@ class Benchmark:
 
 
 def best_stretch(equal: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
-    """(first, words, equal words) of the highest-scoring stretch, if it is
-    long enough and SHARE of its words are equal."""
-    score = np.concatenate(([0.0], np.cumsum(np.where(equal, 1.0, -SHARE / (1 - SHARE)))))
-    gain = score - np.minimum.accumulate(score)
-    end = int(gain.argmax())
-    start = int(score[: end + 1].argmin())
-    n, same = end - start, int(equal[start:end].sum())
-    if n >= min(LEAST, item_words) and n >= len(MASKS[0]) and same >= SHARE * n:
-        return start, n, same
-    # the stretch of the highest score may be shorter than one that still has the share
+    """(first, words, equal words) of the longest stretch of at least LEAST
+    words (the whole item, if it is shorter) of which SHARE are equal; of
+    several the first."""
     need = min(LEAST, item_words)
-    if need >= len(MASKS[0]) and len(equal) >= need:
-        sums = np.concatenate(([0], np.cumsum(equal)))
-        window = sums[need:] - sums[:-need]
-        if window.max() >= SHARE * need:
-            return int(window.argmax()), need, int(window.max())
-    return None
+    if need < SHORTEST or len(equal) < need:
+        return None
+    # in whole numbers, so that a share of exactly SHARE counts
+    score = np.concatenate(([0], np.cumsum(np.where(equal, _LOST, -_KEPT))))
+    lowest = np.minimum.accumulate(score)
+    # the longest stretch that ends at an end begins where the least prefix first is as low
+    first = np.searchsorted(-lowest, -score)
+    n = np.arange(len(score)) - first
+    end = int(n.argmax())
+    if n[end] < need:
+        return None
+    start = int(first[end])
+    return start, end - start, int(equal[start:end].sum())
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, words_a_pass: int) -> list:
