@@ -13,8 +13,12 @@ one anchor, 336 bytes at most) whose anchors have the same hash.
    suffixes of a batch of them: those smaller than their successors are sorted
    directly, scans of the buckets of first bytes induce the others.  Strings
    whose suffix has LENGTH bytes in common with a neighbour's occur again.
-4. An anchor with very many different regions is dealt to several tasks; each
-   reports one string of a kind, and what two tasks report occurs again.
+4. An anchor with very many different regions is refined first.  Equal strings
+   start equally far before their anchor, so regions are divided into blocks of
+   starts.  The bytes that all strings of a block share (the core; for a whole
+   region that is the anchor's gram) take the anchor's place, and step 2 is
+   done again; narrower blocks have longer cores.  A block of one start has the
+   string as its core, so that the groups get small and none is ever split.
 
 Edge cases: a null text is the empty text; texts shorter than LENGTH bytes
 keep all; rows with equal ids, or null ones, are texts of their own; a text may
@@ -29,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import dropped, written
@@ -38,11 +42,13 @@ from .textbatch import plain
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1
 #: Bytes that a task handles at a time; positions in them take PLACE bits.
-PIECE, PLACE = 2 << 20, 24
-#: Different regions of one anchor that meet in one suffix array at most.
-TOGETHER = 4096
+PIECE, PLACE = 1 << 20, 24
+#: Different regions of one key that meet in one suffix array; more are refined.
+TOGETHER = 1024
+#: Starts in a block at each step of refinement.
+WIDTHS = (35, 9, 3, 1)
 #: Bytes of regions in one suffix array, about.
-ARRAY = 3 << 20
+ARRAY = 3 << 19
 
 REGION = "a bigint, r bigint, i bigint, lo int, n int"
 _POWERS: list[np.ndarray] = []
@@ -277,14 +283,14 @@ def repeated_strings(data: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray,
     return order, np.cumsum(np.append(True, ~equal)) - 1
 
 
-FOUND = "i bigint, lo int, n int, d bigint, a bigint"
+FOUND = "i bigint, lo int, n int"
+CUT = "a bigint, deep boolean, lo int, n int, single boolean, i bigint, t binary"
+BLOCK = "a bigint, r bigint, i bigint, lo int, n int, off int, single boolean, t binary"
 
 
 def _searched(batches):
-    """Rows a, s (part of the anchor's regions), parts, i, lo, n, single, t
-    (bytes), sorted by a and s.  Gives the runs of strings of single regions
-    that occur again, with null d; and where the anchor has several parts, one
-    string of each kind that may occur in another part, with its digest d."""
+    """Rows a, i, lo, n, single, t (bytes), sorted by a.  Gives the runs of
+    strings of single regions that occur again in a region of the same a."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -293,8 +299,8 @@ def _searched(batches):
         if size < ARRAY:
             continue
         table = pa.Table.from_batches(held)
-        key = np.stack([table["a"].to_numpy(), table["s"].to_numpy()], axis=1)
-        last = np.flatnonzero((key != key[-1]).any(axis=1))
+        key = table["a"].to_numpy()
+        last = np.flatnonzero(key != key[-1])
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
             yield from _in_arrays(table.slice(0, cut))
@@ -306,8 +312,10 @@ def _searched(batches):
 
 def _in_arrays(table: pa.Table):
     """Split at groups so that an array has about ARRAY bytes."""
-    key = np.stack([table["a"].to_numpy(), table["s"].to_numpy()], axis=1)
-    head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+    if not table.num_rows:
+        return
+    key = table["a"].to_numpy()
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     ends = np.cumsum(pc.binary_length(table["t"]).to_numpy())
     at = 0
     while at < len(head):
@@ -324,7 +332,7 @@ def _one_array(table: pa.Table):
     data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
     begin = np.cumsum(size) - size
     n, lo, ids = table["n"].to_numpy(), table["lo"].to_numpy(), table["i"].to_numpy()
-    single, parts, a = np.asarray(table["single"].to_numpy(zero_copy_only=False), bool), table["parts"].to_numpy(), table["a"].to_numpy()
+    single = np.asarray(table["single"].to_numpy(zero_copy_only=False), bool)
     region = np.repeat(np.arange(len(raw)), n)
     place = np.arange(len(region)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
     wanted = np.zeros(len(data), bool)
@@ -335,32 +343,14 @@ def _one_array(table: pa.Table):
     if not len(places):
         return
     again = np.bincount(kinds)[kinds] > 1
-    mine = owner[places]
     hit = np.zeros(len(data), bool)
-    hit[places[again & single[mine]]] = True
+    hit[places[again & single[owner[places]]]] = True
     runs = np.flatnonzero(hit)
     if len(runs):
         first = np.flatnonzero(np.append(True, (runs[1:] != runs[:-1] + 1) | (owner[runs[1:]] != owner[runs[:-1]])))
         count = np.diff(np.append(first, len(runs)))
         own = owner[runs[first]]
-        yield _rows(ids[own], lo[own] + runs[first] - begin[own], count, None, a[own])
-    split = parts[mine] > 1
-    if split.any():
-        # one string a kind stands for the part; it is marked here only if nothing in the part equals it
-        one = np.append(True, kinds[1:] != kinds[:-1]) & split
-        at, own = places[one], mine[one]
-        power, inverse = _powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE[data] * power[: len(data)], out=sums[1:])
-        digest = (sums[at + LENGTH] - sums[at]) * inverse[at]
-        digest = (digest ^ (digest >> np.uint64(31))) * ODD
-        alone = ~again[one] & single[own]
-        yield _rows(ids[own], lo[own] + at - begin[own], np.where(alone, 1, 0), digest.view(np.int64), a[own])
-
-
-def _rows(i, lo, n, d, a):
-    d = pa.nulls(len(i), pa.int64()) if d is None else pa.array(d)
-    return pa.record_batch([pa.array(i), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), d, pa.array(a)], names=["i", "lo", "n", "d", "a"])
+        yield pa.record_batch([pa.array(ids[own]), pa.array((lo[own] + runs[first] - begin[own]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["i", "lo", "n"])
 
 
 def _cut(batches):
@@ -370,8 +360,60 @@ def _cut(batches):
         for i, text, wanted in zip(ids.tolist(), plain(batch.column("t")).cast(pa.large_binary()), batch.column("w").to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             cut = [raw[w["lo"] : w["lo"] + w["n"] - 1 + LENGTH] for w in wanted]
-            part = [pa.array([w[k] for w in wanted], t) for k, t in (("a", pa.int64()), ("s", pa.int32()), ("parts", pa.int32()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_()))]
-            yield pa.record_batch([*part, pa.array([i] * len(wanted), pa.int64()), pa.array(cut, pa.binary())], names=["a", "s", "parts", "lo", "n", "single", "i", "t"])
+            part = [pa.array([w[k] for w in wanted], t) for k, t in (("a", pa.int64()), ("deep", pa.bool_()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_()))]
+            yield pa.record_batch([*part, pa.array([i] * len(wanted), pa.int64()), pa.array(cut, pa.binary())], names=["a", "deep", "lo", "n", "single", "i", "t"])
+
+
+def _blocks(width: int):
+    """Divide regions (or blocks of an earlier step, whose column off says how
+    far after its first string the anchor lies) into blocks of ``width`` starts."""
+
+    def work(batches):
+        for batch in batches:
+            raw = batch.column("t").cast(pa.large_binary())
+            size = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+            data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+            if not len(data):
+                continue
+            begin = np.cumsum(size) - size
+            n = batch.column("n").to_numpy().astype(np.int64)
+            off = batch.column("off").to_numpy().astype(np.int64) if "off" in batch.schema.names else anchors(data)[begin] - begin
+            most, least = off, off - n + 1  # how far before the anchor the first and the last string start
+            many = most // width - least // width + 1
+            row = np.repeat(np.arange(len(n)), many)
+            block = least[row] // width + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            far, near = np.minimum(most[row], block * width + width - 1), np.maximum(least[row], block * width)
+            skip, count = most[row] - far, far - near + 1
+            start = begin[row] + skip
+            stop = start + count - 1 + LENGTH
+            core = begin[row] + off[row] - block * width
+            power, inverse = _powers(len(data))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(BYTE[data] * power[: len(data)], out=sums[1:])
+
+            def hashed(a, b, tags):
+                h = (sums[b] - sums[a]) * inverse[a]  # noqa: B023
+                for tag in tags:
+                    h = (h ^ (h >> np.uint64(31))) * ODD + tag.astype(np.uint64)
+                return pa.array(((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64))
+
+            own = np.frombuffer(b"".join(data[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint8)
+            ends = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int64)
+            bytes_ = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(own)]).cast(pa.binary())
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.record_batch(
+                [hashed(core, core + LENGTH - width + 1, [block]), hashed(start, stop, [count, far]), batch.column("i").take(pa.array(row)), ints(batch.column("lo").to_numpy()[row] + skip), ints(count), ints(far), batch.column("single").take(pa.array(row)), bytes_],
+                names=["a", "r", "i", "lo", "n", "off", "single", "t"],
+            )
+
+    return work
+
+
+def _compared(kinds: DataFrame, single: Column) -> DataFrame:
+    """a, deep: keys with a single region that others may repeat, and whether
+    they have too many regions for one array."""
+    sizes = kinds.groupBy("a").agg(F.count("*").alias("k"), F.count_if(single).alias("u")).where("u > 0 AND k > 1")
+    return written(sizes.select("a", (F.col("k") > TOGETHER).alias("deep")), "compared")
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -383,19 +425,34 @@ def repeats(texts: DataFrame) -> DataFrame:
     dropped(texts.sparkSession, listed)
     kinds = written(some.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(F.struct("i", "lo", "n")).alias("one")), "kinds")
     equal = some.join(written(kinds.where("c > 1").select("a", "r"), "equal"), ["a", "r"]).select("i", "lo", "n")
-    per_anchor = kinds.groupBy("a").agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("u")).where("u > 0")
-    parts = F.ceil(F.col("k") / F.lit(TOGETHER)).cast("int")
-    per_anchor = written(per_anchor.select("a", parts.alias("parts")), "compared")
-    wanted = kinds.join(per_anchor, "a").select("a", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int").alias("s"), "parts", "one.i", "one.lo", "one.n", (F.col("c") == 1).alias("single"))
-    lists = wanted.groupBy("i").agg(F.collect_list(F.struct("a", "s", "parts", "lo", "n", "single")).alias("w"))
-    cut = texts.select("i", "t").join(written(lists, "wanted"), "i").mapInArrow(_cut, "a bigint, s int, parts int, lo int, n int, single boolean, i bigint, t binary")
-    met = cut.repartition("a", "s").sortWithinPartitions("a", "s")
-    found = written(met.mapInArrow(_searched, FOUND), "found")
-    inside = found.where("d IS NULL").select("i", "lo", "n")
-    shared = found.where("d IS NOT NULL")
-    twice = written(shared.groupBy("a", "d").agg(F.count("*").alias("c")).where("c > 1").select("a", "d"), "twice")
-    across = shared.where("n > 0").join(twice, ["a", "d"]).select("i", "lo", "n")
-    return equal.unionByName(inside).unionByName(across)
+    single = F.col("c") == 1
+    sizes = _compared(kinds, single)
+    wanted = kinds.join(sizes, "a").select("a", "deep", "one.i", "one.lo", "one.n", single.alias("single"))
+    lists = wanted.groupBy("i").agg(F.collect_list(F.struct("a", "deep", "lo", "n", "single")).alias("w"))
+    cut = texts.select("i", "t").join(written(lists, "wanted"), "i").mapInArrow(_cut, CUT)
+    met, deep = cut, not sizes.where("deep").isEmpty()
+    if deep:
+        cut = written(cut, "cut")
+        met, rows = cut.where("NOT deep"), cut.where("deep").drop("deep")
+    met = met.select("a", "i", "lo", "n", "single", "t")
+    for width in WIDTHS:
+        if not deep:
+            break
+        blocks = written(rows.mapInArrow(_blocks(width), BLOCK), "blocks")
+        kinds = written(blocks.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(F.struct("i", "lo", "n", "off", "single", "t")).alias("one")), "kinds")
+        equal = equal.unionByName(blocks.where("single").join(written(kinds.where("c > 1").select("a", "r"), "equal"), ["a", "r"]).select("i", "lo", "n"))
+        single = (F.col("c") == 1) & F.col("one.single")
+        sizes = _compared(kinds, single)
+        deep = width > 1 and not sizes.where("deep").isEmpty()
+        rows = kinds.join(sizes, "a").select("a", "deep", "one.i", "one.lo", "one.n", "one.off", single.alias("single"), "one.t")
+        if deep:
+            rows = written(rows, "cut")
+            met = met.unionByName(rows.where("NOT deep").drop("deep", "off"))
+            rows = rows.where("deep").drop("deep")
+        else:
+            met = met.unionByName(rows.drop("deep", "off"))
+    inside = met.repartition("a").sortWithinPartitions("a").mapInArrow(_searched, FOUND)
+    return equal.unionByName(inside)
 
 
 def _kept(batches):
