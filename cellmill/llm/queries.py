@@ -43,8 +43,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out("doc_id", 3, 1)
     model = toxicity.fitted(docs.where(~out), table(spark, sf_dir, "labels"))
-    scored = toxicity.scored(docs, model)
-    return scored.select("doc_id", out.alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"))
+    scored = toxicity.scored(docs, model, spans=True)
+    spans = F.array_join(F.transform("toxicity.spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return scored.select("doc_id", out.alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"), spans.alias("spans"))
 
 
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

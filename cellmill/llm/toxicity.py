@@ -2,13 +2,16 @@
 
 1. Every labelled learning row is counted, equal texts once: in how many toxic
    and other texts each word and each beginning of a word (a stem) occurs.
-   That gives them log odds; tokens of toxic texts whose word or stem has high
-   odds are labelled toxic, all others clean.
-2. The field (two states a token, with features of the odds of the word, of
-   its stem and of its neighbours) is fitted to those tokens of a bounded
-   sample of rows.
-3. Forward-backward gives every token of every text its probability; they make
-   the text's score, and runs of probable tokens are its toxic spans.
+   Those whose log odds are surely high make the lexicon, each in the bin of
+   its odds.  The edges of the bins are odds, not shares of the highest ones,
+   so that the words of a rare language stand beside those of a common one.
+2. The field (two states a token, with features of the bins of the word, of
+   its stem and of its neighbours) is fitted to a bounded sample of rows, whose
+   tokens of the lexicon are labelled as their text is.  A row's own text is
+   left out of the odds of its tokens.
+3. Forward-backward gives every token of every text its probability; the
+   highest ones and the length make the text's score, and runs of probable
+   tokens are its toxic spans.
 
 The chain of a whole batch is one product of 2 x 2 matrices with a reset at
 each text, computed in blocks, so that a text may have any length.
@@ -26,35 +29,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
 from .textbatch import in_pieces, pieces, plain, words
 
-#: Rows of each kind that the field is fitted to, at most, and their length.
-MOST_ROWS, MOST_CHARS = 500, 8_000
-#: Words and stems with odds of their own, at most; each must occur in so many texts.
-MOST_WORDS, LEAST_TEXTS = 20_000, 4
+#: Rows of each kind that the field is fitted to, at most; whole texts.
+MOST_ROWS = 500
 #: Lengths of stems; a stem is marked by a hyphen.
-STEMS = (4, 5, 6)
-#: Log odds (the lower end of their 90 % interval) under this aren't kept.
-LEAST_ODDS = 1.0
-#: Edges of the bins, as shares of the highest log odds that were found.  What
-#: lies over the share TOXIC is a toxic word; what has no odds is in bin 0.
-EDGES = np.array([0.25, 0.4, 0.55, 0.65, 0.8, 0.9])
-TOXIC = 3
-#: Token probabilities under this say nothing of a text.
-NOISE = 0.05
+STEMS = (3, 4, 5, 6, 7)
+#: Odds count by the lower end of an interval of so many standard errors.
+SURE = 2.5
+#: Edges of the bins of log odds; what lies under the first is not in the lexicon.
+EDGES = np.array([1.0, 1.5, 2.0, 3.0, 4.0])
+#: Tokens that make a text's score; bounds of their log odds.
+TOP, BOUND = 3, 10.0
 BINS = len(EDGES) + 1
 
 
 @dataclass
 class Field:
-    odds: dict[str, float]
+    lexicon: dict[str, int]  # words and stems by their bin
     weights: np.ndarray  # state 1 against 0: bias, then bins of the word, its stem, the token before, the one after
     steps: np.ndarray  # 2 x 2 log potentials from state to state
-    scale: np.ndarray  # intercept and slope from the evidence to the score
+    scale: np.ndarray  # from the evidence to the score
 
 
 def core(distinct: pa.Array) -> pa.Array:
@@ -93,16 +92,23 @@ def text_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return sums.where("word <> ''")
 
 
-def _binned(parts: pa.Array, odds: dict[str, float]) -> np.ndarray:
+def log_odds(toxic: Column, other: Column, kinds: dict[int, int]) -> Column:
+    """The lower end of the log odds of a word or stem, from its texts of
+    either kind and all texts of either kind."""
+    odds = F.log((toxic + 0.5) / (kinds[1] + 1)) - F.log((other + 0.5) / (kinds[0] + 1))
+    return odds - SURE * F.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+
+
+def _binned(parts: pa.Array, lexicon: dict[str, int]) -> np.ndarray:
     coded = parts.dictionary_encode()
-    known = np.fromiter((odds.get(x, -99.0) for x in coded.dictionary.to_pylist()), np.float64, len(coded.dictionary))
-    return np.searchsorted(EDGES, known, side="right")[coded.indices.to_numpy(zero_copy_only=False)]
+    known = np.fromiter((lexicon.get(x, 0) for x in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    return known[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def bins_of(distinct: pa.Array, odds: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+def bins_of(distinct: pa.Array, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The bins of each word's odds and of the highest odds of its stems."""
     cores = core(distinct)
-    return _binned(cores, odds), np.max([_binned(stems(cores, n), odds) for n in STEMS], axis=0)
+    return _binned(cores, lexicon), np.max([_binned(stems(cores, n), lexicon) for n in STEMS], axis=0)
 
 
 def features(bins: tuple[np.ndarray, np.ndarray], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -184,7 +190,7 @@ def transitions(alpha: np.ndarray, gamma: np.ndarray, steps: np.ndarray, inner:
     return (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
-def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, rounds: int = 100, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and steps of the largest likelihood, by Adam over the whole sample."""
     size = 1 + len(f) * BINS
     x = np.zeros(size + 4)
@@ -206,56 +212,87 @@ def _fit(f: tuple[np.ndarray, ...], offsets: np.ndarray, state: np.ndarray, roun
 
 
 def evidence(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text: 1, and the log odds that any of its tokens is toxic.  Tokens
-    under NOISE don't count, or long texts would add up to something."""
-    p = np.where(p < NOISE, 0.0, p)
-    none = np.concatenate(([0.0], np.cumsum(np.log1p(-np.clip(p, 0, 1 - 1e-9)))))
-    none = np.minimum(none[offsets[1:]] - none[offsets[:-1]], 0)
-    odds = np.clip(np.log(np.maximum(-np.expm1(none), 1e-12)) - none, -10, 20)
-    return np.stack([np.ones(len(odds)), odds], axis=1)
+    """Per text: 1, the TOP highest log odds of its tokens, the log of its length."""
+    size = np.diff(offsets)
+    out = np.full((len(size), TOP + 2), -BOUND)
+    out[:, 0], out[:, -1] = 1, np.log1p(size)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    odds = np.clip(np.log(p / (1 - p)), -BOUND, BOUND)
+    owner = np.repeat(np.arange(len(full)), size[full])
+    for k in range(1, TOP + 1):
+        most = np.maximum.reduceat(odds, offsets[full])
+        out[full, k] = np.maximum(most, -BOUND)
+        at = np.flatnonzero(odds == most[owner])
+        odds[at[np.append(True, owner[at[1:]] != owner[at[:-1]])]] = -np.inf
+    return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
     return w
 
 
+def _sampled(rows: DataFrame, lexicons: dict[int, dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, offsets, labels) of rows (i, t, l): tasks turn the texts into
+    four small numbers a token, the driver gets those alone."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons)
+
+    def work(batches):
+        for batch in batches:
+            label = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int64)
+            at = 0
+            for run in pieces(plain(batch.column(1))):
+                codes, distinct, offsets = words(run)
+                kind = label[at : at + len(run)]
+                own = [np.stack(features(bins_of(distinct, shared.value[k]), codes, offsets), axis=1).astype(np.uint8) for k in (0, 1)]
+                found = [own[k][offsets[j] : offsets[j + 1]].tobytes() for j, k in enumerate(kind.tolist())]
+                yield pa.record_batch([batch.column(0).slice(at, len(run)), pa.array(kind), pa.array(found, pa.binary())], names=["i", "l", "f"])
+                at += len(run)
+
+    table = rows.select("i", "t", "l").mapInArrow(work, "i bigint, l bigint, f binary").orderBy("i").toArrow()
+    own = table["f"].to_pylist()
+    flat = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 4).astype(np.int64)
+    return flat.T, np.concatenate(([0], np.cumsum([len(x) // 4 for x in own]))).astype(np.int64), table["l"].to_numpy().astype(np.int64)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Field | None:
     """The field, or None where no row or one kind of row teaches.
 
-    Word counts cover every labelled row.  The field and the final scale are
-    fitted to at most MOST_ROWS rows of each kind and of at most MOST_CHARS
-    characters, those of the smallest hash of ``id_col``.
+    Word counts cover every labelled row, whatever its length.  The field and
+    the final scale are fitted to at most MOST_ROWS rows of each kind, those of
+    the smallest hash of ``id_col``; the scale weighs them so that the kinds
+    are as frequent as among all rows.  The lexicon is broadcast; it holds what
+    the interval of the log odds tells from chance, and nothing else.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("l"))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    same = texts.select("i", F.xxhash64("t").alias("h"), F.length("t").alias("n")).join(marked, "i")
-    kept = written(same.groupBy("h", "l").agg(F.min("i").alias("i"), F.first("n").alias("n")).select("i", "l", "n"), "labelled")
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("l"))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    same = texts.select("i", F.xxhash64("t").alias("h")).join(marked, "i")
+    kept = written(same.groupBy("h", "l").agg(F.min("i").alias("i")).select("i", "l"), "labelled")
     rows = texts.join(kept, "i")
     kinds = {r["l"]: r["n"] for r in kept.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not (kinds.get(0) and kinds.get(1)):
         return None
-    odds = F.log((F.col("toxic") + 0.5) / (kinds[1] + 1)) - F.log((F.col("other") + 0.5) / (kinds[0] + 1))
-    counts = text_counts(rows, "t", "l").where((F.col("toxic") + F.col("other") >= LEAST_TEXTS) & (odds >= LEAST_ODDS))
-    sure = odds - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    best = counts.withColumn("o", sure).where(F.col("o") >= LEAST_ODDS).orderBy(F.desc("o"), "word").limit(MOST_WORDS).select("word", "o").collect()
-    table = {r["word"]: r["o"] / best[0]["o"] for r in best}
-    ids = [kept.where((F.col("l") == k) & (F.col("n") <= MOST_CHARS)).orderBy(F.xxhash64("i"), "i").limit(MOST_ROWS) for k in (0, 1)]
+    odds = log_odds(F.col("toxic"), F.col("other"), kinds)
+    found = text_counts(rows, "t", "l").where(odds >= float(EDGES[0]))
+    without = {2: odds, 1: log_odds(F.col("toxic") - 1, F.col("other"), kinds), 0: log_odds(F.col("toxic"), F.greatest(F.col("other") - 1, F.lit(0)), kinds)}
+    best = found.select("word", *(o.alias(f"o{k}") for k, o in without.items())).orderBy("word").collect()
+    lexicons = {k: {r["word"]: int(np.searchsorted(EDGES, r[f"o{k}"], side="right")) for r in best} for k in without}
+    ids = [kept.where(F.col("l") == k).orderBy(F.xxhash64("i"), "i").limit(MOST_ROWS) for k in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # at most 2 * MOST_ROWS rows
-    sample = texts.join(F.broadcast(chosen), "i").orderBy("i").toArrow()
-    label = sample["l"].to_numpy().astype(np.int64)
-    codes, distinct, offsets = words(plain(sample["t"]))
-    if not len(codes):
+    f, offsets, label = _sampled(rows.drop("l").join(F.broadcast(chosen), "i"), lexicons)
+    if not f.shape[1]:
         return None
-    f = features(bins_of(distinct, table), codes, offsets)
-    high = np.maximum(f[0], f[1]) > TOXIC
-    state = (high & (np.repeat(label, np.diff(offsets)) == 1)).astype(np.int64)
-    weights, steps = _fit(f, offsets, state)
+    state = ((np.maximum(f[0], f[1]) > 0) & (np.repeat(label, np.diff(offsets)) == 1)).astype(np.int64)
+    weights, steps = _fit(tuple(f), offsets, state)
     p, _, _ = marginals(_scores(weights, f), steps, offsets)
-    return Field(table, weights, steps, _logistic(evidence(p, offsets), label))
+    share = np.array([kinds[k] / max(1, int((label == k).sum())) for k in (0, 1)])
+    return Field(lexicons[2], weights, steps, _logistic(evidence(p, offsets), label, share[label]))
 
 
 def scored(docs: DataFrame, model: Field | None, text_col: str = "text", into: str = "toxicity", spans: bool = False, least: float = 0.5) -> DataFrame:
@@ -272,7 +309,7 @@ def scored(docs: DataFrame, model: Field | None, text_col: str = "text", into: s
             found = [[] for _ in range(len(run))]
         else:
             codes, distinct, offsets = words(run)
-            f = features(bins_of(distinct, model.odds), codes, offsets)
+            f = features(bins_of(distinct, model.lexicon), codes, offsets)
             p, _, _ = marginals(_scores(model.weights, f), model.steps, offsets)
             columns = [1 / (1 + np.exp(-np.clip(evidence(p, offsets) @ model.scale, -30, 30)))]
             found = token_spans(run, p >= least, offsets) if spans else []
@@ -293,10 +330,10 @@ def token_spans(texts: pa.Array, toxic: np.ndarray, offsets: np.ndarray) -> list
     from .textbatch import SPACES
 
     cut, out = re.compile(f"[^{SPACES}]+"), []
-    for i, text in enumerate(texts.to_pylist()):
+    for i in range(len(texts)):
         own, spans, last = toxic[offsets[i] : offsets[i + 1]], [], -2
         if own.any():
-            for k, m in enumerate(cut.finditer(text)):
+            for k, m in enumerate(cut.finditer(texts[i].as_py())):
                 if own[k]:
                     if last == k - 1:
                         spans[-1]["end"] = m.end()
