@@ -3,17 +3,20 @@
 Texts become words of letters and digits in lower case.  A fixed mask names
 which words of a stretch count; the hash of those words joins texts with
 benchmark items whatever stands at the ignored places.  Around each hit the
-texts are laid side by side on its diagonal, and the longest stretch there
-that has the wanted share of equal words is an overlap if it is long enough.
+texts are laid side by side on its diagonal.  The longest stretch there that
+has the wanted share of equal words is an overlap if it is long enough, and so
+is the longest one in what it leaves of the diagonal on either side.
 
 The masks together hit every stretch of LEAST words or more of which a fifth
-is replaced, and every shorter item (tests prove it for all placements), so
-that no overlap which would pass the verification is missed.
+is replaced, and every shorter item.  Tests try all placements in 12 to 23
+words; a longer stretch can be cut into parts of such lengths, and one of them
+has no more than its fifth replaced.  So no overlap is missed.
 
 Edge cases: null and empty texts and items overlap nothing; an item shorter
 than LEAST words must occur in full, with a fifth replaced at most, and have
 at least SHORTEST words; null ids are kept; repeated rows each get their
-overlaps; empty tables give empty tables; texts are searched whole.
+overlaps; empty tables give empty tables; texts are searched whole; words that
+repeat without end give many diagonals, looked at in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import pieces, plain, words
+from .textbatch import gathered, pieces, plain, words
 
 #: Which words of a stretch a seed hashes (1) and which it ignores (0).
-MASKS = ("11111", "110111")
+MASKS = ("101111", "1110011")
 #: Those that items of fewer than LEAST words need besides.
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
 #: Words that an overlap covers at least, and the share of equal ones.
@@ -41,6 +44,8 @@ _KEPT, _LOST = Fraction(SHARE).limit_denominator(1000).as_integer_ratio()
 _LOST -= _KEPT
 #: Benchmark words searched for in one pass; a longer benchmark takes several.
 PASS_WORDS = 1 << 20
+#: Places of an item beside a text, and words on them, handled at a time.
+BLOCK = 1 << 20
 FOUND = "doc_id bigint, item_id bigint, start_word int, n_words int, n_equal int"
 
 
@@ -98,23 +103,62 @@ class Benchmark:
             seed, at = seed[some], at[some]
             a, b = np.searchsorted(known, seed), np.searchsorted(known, seed, side="right")
             n = b - a
-            if n.any():
-                own = np.repeat(at, n)
-                theirs = places[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            hit = np.flatnonzero(n)
+            at, a, n = at[hit], a[hit], n[hit]
+            ends = np.cumsum(n)
+            done = 0
+            while done < len(at):
+                stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BLOCK)))
+                own = np.repeat(at[done:stop], n[done:stop])
+                theirs = places[gathered(a[done:stop], n[done:stop])]
                 item = self.item[theirs]
                 # a diagonal: the text's word that would lie beside the item's first
-                found.append(np.stack([text[own], item, own - (theirs - self.offsets[item])], axis=1))
+                found.append(np.unique(np.stack([text[own], item, own - (theirs - self.offsets[item])], axis=1), axis=0))
+                done = stop
         if not found:
             return []
+        diagonals, out = np.unique(np.concatenate(found), axis=0), []
+        size = np.diff(self.offsets)
+        ends = np.cumsum(size[diagonals[:, 1]])
+        done = 0
+        while done < len(diagonals):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BLOCK)))
+            out += self._verified(diagonals[done:stop], hashes, offsets)
+            done = stop
+        return out
+
+    def _verified(self, diagonals: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The overlaps on some diagonals (text, item, shift)."""
+        t, i, shift = diagonals.T
+        words_of = self.offsets[i + 1] - self.offsets[i]
+        first, last = np.maximum(offsets[t], shift), np.minimum(offsets[t + 1], shift + words_of)
+        n = last - first
+        beside = self.offsets[i] + first - shift
+        equal = hashes[gathered(first, n)] == self.hashes[gathered(beside, n)]
+        ends = np.cumsum(n)
+        sums = np.concatenate(([0], np.cumsum(equal)))
+        # too few equal words on the whole diagonal: no stretch of it can do
+        need = np.minimum(LEAST, words_of)
+        likely = np.flatnonzero((sums[ends] - sums[ends - n]) * (_KEPT + _LOST) >= need * _KEPT)
         out = []
-        for t, i, shift in np.unique(np.concatenate(found), axis=0).tolist():
-            a, b = max(int(offsets[t]), shift), min(int(offsets[t + 1]), shift + int(self.offsets[i + 1] - self.offsets[i]))
-            first = int(self.offsets[i]) + a - shift
-            if best := best_stretch(hashes[a:b] == self.hashes[first : first + b - a], int(self.offsets[i + 1] - self.offsets[i])):
-                out.append((t, i, a + best[0] - int(offsets[t]), best[1], best[2]))
+        for k in likely.tolist():
+            for start, size, same in stretches(equal[ends[k] - n[k] : ends[k]], int(words_of[k])):
+                out.append((int(t[k]), int(i[k]), int(first[k] - offsets[t[k]]) + start, size, same))
         return out
 
 
+def stretches(equal: np.ndarray, item_words: int) -> list[tuple[int, int, int]]:
+    """(first, words, equal words) of the longest stretch, and of the longest
+    ones in what is left of the diagonal before and after it, and so on."""
+    out, open_ = [], [(0, len(equal))]
+    while open_:
+        a, b = open_.pop()
+        if best := best_stretch(equal[a:b], item_words):
+            out.append((a + best[0], best[1], best[2]))
+            open_ += [(a, a + best[0]), (a + best[0] + best[1], b)]
+    return sorted(out)
+
+
 def best_stretch(equal: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
     """(first, words, equal words) of the longest stretch of at least LEAST
     words (the whole item, if it is shorter) of which SHARE are equal; of
