@@ -1,7 +1,8 @@
 """Scratch tables in the folder that every executor shares.
 
 The cluster names that folder in ``spark.checkpoint.dir``.  Where the setting
-is absent (tests, notebooks) a local folder is made once per session.
+is absent and Spark runs in one process (tests, notebooks), a local folder is
+made once per session; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="cellmill-")

@@ -265,22 +265,35 @@ def _forest(rows: np.ndarray, tau: int, most_pairs: int = 1_000_000):
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def rooted(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """f, root: for each distinct fingerprint of ``prints`` (column f) the
+    smallest one that links reach."""
+    nodes = written(prints.select("f").distinct(), "nodes")
+    roots = written(components(links(nodes, tau)), "roots").withColumnRenamed("node", "f")
+    return nodes.join(roots, "f", "left").select("f", F.coalesce("root", "f").alias("root"))
+
+
 def grouped(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tau: int = TAU) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the
     smallest id that links reach, for every row."""
     own = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("f")), "fingerprints")
-    nodes = written(own.groupBy("f").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = written(components(links(nodes.select("f"), tau)), "roots").withColumnRenamed("node", "f")
-    least = nodes.join(roots, "f").groupBy("root").agg(F.min("least").alias("component_id"))
-    table = nodes.join(roots.join(least, "root"), "f", "left").select("f", F.coalesce("component_id", "least").alias("component_id"))
-    out = own.join(written(table, "members"), "f")
+    roots = written(rooted(own, tau), "members")
+    least = own.groupBy("f").agg(F.min("doc_id").alias("least")).join(roots, "f").groupBy("root").agg(F.min("least").alias("component_id"))
+    out = own.join(written(roots.join(least, "root").select("f", "component_id"), "labels"), "f")
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tau: int = TAU) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each group, one row an id;
-    rows with a null id take no part and stay."""
-    groups = grouped(docs.where(F.col(id_col).isNotNull()), text_col, id_col, tau)
-    keep = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    some = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return some.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of ``docs`` of each group, that with the smallest id; rows with a
+    null id take no part and stay.  Rows of an equal id are rows of their own:
+    each stays or goes with its own text's group."""
+    known = docs.agg(F.count(id_col).alias("n"), F.count_distinct(id_col).alias("d")).first()
+    if known["n"] == known["d"]:
+        rows, row = docs, F.col(id_col).cast("long")
+    else:  # equal ids: rows get numbers of their own, fixed in a table
+        rows, row = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), F.col("__row")
+    own = rows.where(F.col(id_col).isNotNull()).select(row.alias("r"), F.col(id_col).cast("long").alias("i"), fingerprint(F.col(text_col)).alias("f"))
+    own = written(own, "fingerprints")
+    first = own.groupBy("f").agg(F.min(F.struct("i", "r")).alias("k")).join(rooted(own, tau), "f").groupBy("root").agg(F.min("k").alias("k"))
+    keep = written(first.select(F.col("k.r").alias("__keep")), "kept")
+    return rows.join(keep, row == F.col("__keep"), "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
