@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import share_of, zero_one
 from .relational import keep_first, mapped
 
 
@@ -18,12 +17,15 @@ def cluster_scores(votes: DataFrame, flat: str = "zero") -> DataFrame:
     "uniform" (1 / n; then null scores count as 0, WIN3b).  Otherwise null
     scores take no part in sums but count in equal shares.
     """
-    w = Window.partitionBy("cluster")
     score = F.coalesce("score", F.lit(0.0)) if flat == "uniform" else F.col("score")
-    even = 1.0 / F.count(F.lit(1)).over(w) if flat == "uniform" else None
-    scaled = votes.where("cluster IS NOT NULL").withColumn("__s", score).withColumn("__n", zero_one(F.col("__s"), w, even))
-    weighted = scaled.withColumn("__w", F.col("__s") * share_of(F.col("__n"), w))
-    return weighted.groupBy("cluster", "label").agg(F.sum("__w").alias("score"))
+    own = votes.where("cluster IS NOT NULL").withColumn("__s", score)
+    # a row a cluster: no cluster meets in one task
+    ranges = own.groupBy("cluster").agg(F.min("__s").alias("__low"), F.max("__s").alias("__high"), F.count("*").alias("__n"))
+    even = 1.0 / F.col("__n") if flat == "uniform" else F.lit(0.0)
+    level = F.when(F.col("__high") > F.col("__low"), (F.col("__s") - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(even)
+    total = own.join(ranges, "cluster").groupBy("cluster").agg(F.sum(level).alias("__t"), F.first("__low").alias("__low"), F.first("__high").alias("__high"), F.first("__n").alias("__n"))
+    weight = F.when(F.col("__t") != 0, level / F.col("__t")).otherwise(1.0 / F.col("__n"))
+    return own.join(total, "cluster").groupBy("cluster", "label").agg(F.sum(F.col("__s") * weight).alias("score"))
 
 
 def dominant(scores: DataFrame) -> DataFrame:

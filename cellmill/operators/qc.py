@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .matrix import cells_with, genes_with
 
 
+#: Groups of more rows are bracketed by a sketch first; the share of a group's
+#: rows on either side of a percentile that the bracket takes in, and the sketch's
+#: accuracy, whose error is a quarter of that share.
+BRACKETED, SLACK, ACCURACY = 5000, 2e-3, 2_000
+
+
+def exact_percentiles(df: DataFrame, cols: list[str], by: list[str], at: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """by, name, at, n, nans, value: exact percentiles of columns a group, linear
+    between neighbours; nulls take no part, and a NaN makes all of a group's null.
+
+    No group meets in one buffer.  A sketch a group brackets each percentile;
+    what lies below the bracket is only counted, equal values inside it are
+    counted once, and only those are put in order: some thousandths of a large
+    group's rows.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols))
+    rows = df.select(*by, F.explode(pairs).alias("__x")).select(*by, "__x.name", "__x.v").where("v IS NOT NULL")
+    edges = [min(max(p + side * SLACK, 0.0), 1.0) for p in at for side in (-1, 1)]
+    key = [*by, "name"]
+    sketch = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("nans"), F.percentile_approx("v", edges, ACCURACY).alias("e"))
+    sketch = stored(sketch, "sketch")  # a row a group and column: its size is known, so joins broadcast it where it is small
+    all_ = F.col("n") <= BRACKETED
+    wanted = F.array(*(F.struct(F.lit(p).alias("at"), F.when(all_, F.lit(float("-inf"))).otherwise(F.col("e")[2 * k]).alias("low"), F.when(all_, F.lit(float("inf"))).otherwise(F.col("e")[2 * k + 1]).alias("high")) for k, p in enumerate(at)))
+    beside = rows.join(sketch.where("nans = 0").withColumn("w", wanted).select(*key, "n", "w"), key).withColumn("w", F.explode("w")).where("v <= w.high")
+    values = beside.groupBy(*key, "w.at", "n", F.when(F.col("v") >= F.col("w.low"), F.col("v")).alias("v")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*key, "at").orderBy(F.asc_nulls_first("v"))
+    upto = values.withColumn("k", F.sum("k").over(w))
+    rank = F.col("at") * (F.col("n") - 1)
+    ends = upto.groupBy(*key, "at", "n").agg(F.min(F.when(F.col("k") > F.floor(rank), F.col("v"))).alias("a"), F.min(F.when(F.col("k") > F.ceil(rank), F.col("v"))).alias("b"))
+    exact = ends.select(*key, "at", (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("value"))
+    full = sketch.select(*key, "n", "nans", F.explode(F.array(*map(F.lit, at))).alias("at"))
+    return full.join(exact, [*key, "at"], "left")
+
+
 def medians(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Exact medians a group (AGG2)."""
-    return df.groupBy(*by).agg(*(F.median(c).alias(c) for c in cols))
+    """Exact medians a group, a column each (AGG2)."""
+    long = exact_percentiles(df, cols, by)
+    return long.groupBy(*by).agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in cols))
 
 
 def mad_bounds(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """Median and unscaled median absolute deviation of columns a group, as
     <col>_med and <col>_mad; both null where the column holds a NaN, which then
     marks nothing (AGG3)."""
-    med = df.groupBy(*by).agg(*(F.when(F.count_if(F.isnan(c)) == 0, F.median(c)).alias(f"{c}_med") for c in cols))
-    off = df.join(med, by).groupBy(*by).agg(*(F.median(F.abs(F.col(c) - F.col(f"{c}_med"))).alias(f"{c}_mad") for c in cols))
-    return med.join(off, by)
+    med = stored(medians(df, cols, by).withColumnsRenamed({c: f"{c}_med" for c in cols}), "medians")
+    off = medians(df.join(med, by).select(*by, *(F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in cols)), cols, by)
+    return med.join(off.withColumnsRenamed({c: f"{c}_mad" for c in cols}), by)
 
 
 def outlier(col: str, nmads: float) -> Column:
@@ -30,8 +66,10 @@ def outlier(col: str, nmads: float) -> Column:
 
 def flagged(cells: DataFrame, by: list[str], count_cols: list[str], mt_col: str, nmads: float = 5, mt_nmads: float = 3, mt_most: float = 25) -> DataFrame:
     """``cells`` with outlier (any of the count columns) and mt_outlier (beyond
-    its MADs or over a hard limit) (AGG4)."""
-    bounds = mad_bounds(cells, [*count_cols, mt_col], by)
+    its MADs or over a hard limit) (AGG4).  The metrics are stored first, as
+    medians, deviations and flags each read them."""
+    cells = stored(cells, "metrics")
+    bounds = stored(mad_bounds(cells, [*count_cols, mt_col], by), "bounds")
     out = cells.join(bounds, by)
     any_ = F.lit(False)
     for c in count_cols:
@@ -47,7 +85,14 @@ def filtered(x: DataFrame, flags: DataFrame, min_genes: int, min_cells: int) ->
     return genes_with(cells_with(x.join(good, "cell", "left_semi"), min_genes), min_cells)
 
 
-def with_totals(df: DataFrame, by: str, **aggs: Column) -> DataFrame:
-    """A row a group and one for all, named ``all`` (AGG5)."""
+def with_totals(df: DataFrame, by: str, medians_of: dict[str, str] | None = None, **aggs: Column) -> DataFrame:
+    """A row a group and one for all, named ``all`` (AGG5); ``medians_of`` names
+    exact medians by their columns."""
     out = df.rollup(by).agg(F.grouping(by).alias("__g"), *(c.alias(n) for n, c in aggs.items()))
-    return out.withColumn(by, F.when(F.col("__g") == 1, F.lit("all")).otherwise(F.col(by))).drop("__g")
+    out = out.withColumn(by, F.when(F.col("__g") == 1, F.lit("all")).otherwise(F.col(by))).drop("__g")
+    if not medians_of:
+        return out
+    cols = sorted(set(medians_of.values()))
+    both = df.select(by, *cols).withColumn(by, F.explode(F.array(F.col(by), F.lit("all"))))
+    middle = medians(both, cols, [by]).select(by, *(F.col(c).alias(n) for n, c in medians_of.items()))
+    return out.join(middle, by, "left")

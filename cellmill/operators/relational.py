@@ -117,6 +117,11 @@ def keep_ranked(df: DataFrame, strata: str, order: list[Column], n: int) -> Data
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
+def positional_slice(df: DataFrame, order: list[Column], n: int = 200) -> DataFrame:
+    """The first n rows in a stated order (SMP2)."""
+    return df.orderBy(*order).limit(n)
+
+
 def mapped(df: DataFrame, col: str, vocabulary: DataFrame, out: str, default: str | None = "unresolved") -> DataFrame:
     """``col`` through vocabulary (src, dst); without a match the default, or
     the value itself where the default is None (MAP1, MAP2)."""

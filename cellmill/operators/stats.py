@@ -4,30 +4,62 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank
+from .qc import exact_percentiles
 
 
 def two_sided_p(z: Column) -> Column:
-    """erfc(|z| / sqrt 2), which Spark has no function for."""
+    """erfc(|z| / sqrt 2), by a continued fraction for large arguments and a
+    series for small ones, in expressions of Spark alone (relative error under
+    1e-12)."""
+    x = F.abs(z) / math.sqrt(2)
+    # series: erf(x) = 2/sqrt(pi) * exp(-x*x) * sum over n of 2^n x^(2n+1) / (1*3*...*(2n+1))
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda a, n: F.struct((a["t"] * 2 * x * x / (2 * n + 1)).alias("t"), (a["s"] + a["t"] * 2 * x * x / (2 * n + 1)).alias("s")))["s"]
+    # fraction: erfc(x) = exp(-x*x)/sqrt(pi) / (x + (1/2)/(x + 1/(x + (3/2)/(x + ...))))
+    large = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda a, n: x + (n / 2.0) / a)
+    return F.when(x < 2.5, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * small).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / large)
+
+
+def running(df: DataFrame, by: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    """``df`` with __part (the range of a group's rows by ``order[0]`` that a row
+    falls into), __row (its place in the range, by all of ``order``) and __before
+    (the rows of the group in the ranges before).
+
+    A sketch a group chooses the edges of the ranges, so that a group of any size
+    is ordered by many tasks; equal values lie in one range, and so do nulls.
+    """
+    first = order[0]
+    edges = df.groupBy(*by).agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 1000).alias("__e"))
+    placed = df.join(edges, by).withColumn("__part", F.coalesce(F.size(F.filter("__e", lambda e: e < F.col(first))), F.lit(-1))).drop("__e")
+    sizes = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a group
+    before = sizes.select(*by, "__part", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"))
+    return placed.join(before, [*by, "__part"]).withColumn("__row", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)))
 
-    @F.arrow_udf("double")
-    def run(z: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else math.erfc(abs(v) / math.sqrt(2)) for v in z.to_pylist()], pa.float64())
 
-    return run(z)
+def cumulative_distribution(df: DataFrame, value: str, by: list[str], out: str = "ecdf") -> DataFrame:
+    """The share of a group's rows with this value or a smaller one (WIN6)."""
+    ranked = running(df, by, [value])
+    total = df.groupBy(*by).agg(F.count("*").alias("__m"))
+    last = F.max("__row").over(Window.partitionBy(*by, "__part", value))
+    return ranked.withColumn("__r", F.col("__before") + last).join(total, by).withColumn(out, F.col("__r") / F.col("__m")).drop("__part", "__row", "__before", "__r", "__m")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str], key: str, out: str = "p_adj") -> DataFrame:
     """Adjusted p-values within groups: p * m / rank, the running minimum from
-    the largest down, 1 at most (STA13)."""
-    up = Window.partitionBy(*by).orderBy(F.col(p), F.col(key))
-    down = Window.partitionBy(*by).orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("__r", F.row_number().over(up)).withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(down))).drop("__r", "__m")
+    the largest down, 1 at most (STA13).  Groups are ordered range by range; the
+    minimum of the ranges after a row's own is looked up."""
+    total = df.groupBy(*by).agg(F.count("*").alias("__m"))
+    ranked = running(df, by, [p, key]).join(total, by).withColumn("__q", F.col(p) * F.col("__m") / (F.col("__before") + F.col("__row")))
+    least = ranked.groupBy(*by, "__part").agg(F.min("__q").alias("__least"))
+    after = Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)  # a row a range
+    later = least.select(*by, "__part", F.min("__least").over(after).alias("__later"))
+    own = F.min("__q").over(Window.partitionBy(*by, "__part").orderBy(F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0))
+    done = ranked.join(later, [*by, "__part"]).withColumn(out, F.least(F.lit(1.0), own, F.col("__later")))
+    return done.drop("__part", "__row", "__before", "__m", "__q", "__later")
 
 
 def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "value", group: str = "grp") -> DataFrame:
@@ -82,9 +114,11 @@ def spearman(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return df.withColumns(ranks).groupBy(by).agg(F.corr(f"__{a}", f"__{b}").alias("spearman"))
 
 
-def percentiles(c: str, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> list[Column]:
-    """Exact percentiles, linear between neighbours (AGG19)."""
-    return [F.percentile(c, p).alias(f"p{round(100 * p):02d}") for p in at]
+def percentiles(df: DataFrame, c: str, by: list[str], at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """Exact percentiles of a column a group, linear between neighbours, in
+    columns p10, p25 and so on (AGG19)."""
+    long = exact_percentiles(df, [c], by, at)
+    return long.groupBy(*by).agg(*(F.max(F.when(F.col("at") == p, F.col("value"))).alias(f"p{round(100 * p):02d}") for p in at))
 
 
 def cumulative_share(df: DataFrame, order: str, value: str, by: str) -> DataFrame:

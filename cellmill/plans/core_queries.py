@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import consensus, matrix, qc, relational
+from ..sources.scratch import stored
 from . import tables as t
 from .registry import CELLS, GENES, VOTES, X, query, r6
 
@@ -81,8 +82,8 @@ def qc_filter_summary(spark: SparkSession, sf: str) -> DataFrame:
     SELECT coalesce(puck, 'all') AS puck, count(*) AS cells, sum(total_counts) AS total_umis, median(total_counts) AS median_umis, CAST(median(n_genes) AS DOUBLE) AS median_genes
     FROM c GROUP BY ROLLUP (puck)""")
 def puck_summary_totals(spark: SparkSession, sf: str) -> DataFrame:
-    m = metrics(spark, sf).join(t.cells(spark, sf).select("cell", "puck"), "cell")
-    return qc.with_totals(m, "puck", cells=F.count("*"), total_umis=F.sum("total_counts"), median_umis=F.median("total_counts"), median_genes=F.median("n_genes"))
+    m = stored(metrics(spark, sf).join(t.cells(spark, sf).select("cell", "puck"), "cell"), "metrics")
+    return qc.with_totals(m, "puck", {"median_umis": "total_counts", "median_genes": "n_genes"}, cells=F.count("*"), total_umis=F.sum("total_counts"))
 
 
 @query("""SELECT user_id, event_id, event_type, value FROM (

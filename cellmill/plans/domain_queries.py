@@ -217,14 +217,14 @@ def spearman_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT l_suppkey, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.25), 6) AS p25, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.75), 6) AS p75, round(quantile_cont(l_quantity, 0.9), 6) AS p90 FROM lineitem GROUP BY 1""")
 def percentile_profile(spark: SparkSession, sf: str) -> DataFrame:
-    out = t.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(*stats.percentiles("l_quantity"))
+    out = stats.percentiles(t.table(spark, sf, "lineitem"), "l_quantity", ["l_suppkey"])
     return out.withColumns({c: r6(c) for c in out.columns[1:]})
 
 
 @query("SELECT o_orderkey, o_orderstatus, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 6) AS ecdf FROM orders")
 def ecdf(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("o_orderstatus").orderBy("o_totalprice")
-    return t.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", r6(F.cume_dist().over(w)).alias("ecdf"))
+    o = t.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return stats.cumulative_distribution(o, "o_totalprice", ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", r6("ecdf").alias("ecdf"))
 
 
 @query("""WITH s AS (SELECT l_returnflag, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), c AS (SELECT l_returnflag, l_suppkey, sum(q) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey ROWS UNBOUNDED PRECEDING) / sum(q) OVER (PARTITION BY l_returnflag) AS c FROM s)

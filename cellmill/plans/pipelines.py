@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import consensus, embedding, health, markers, matrix, qc, relational, signatures, spatial, stats, variants
 from ..sources import tables
+from ..sources.scratch import stored
 
 
 def load_puck(spark: SparkSession, expression: str, barcodes: str, puck: str) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +38,7 @@ def qc_and_merge(x: DataFrame, min_genes: int = 100, min_cells: int = 10, nmads:
     where = x.select("cell", "puck").distinct()
     m = matrix.cell_metrics(x, gene_flags(x), ("mt",)).join(where, "cell")
     flags = qc.flagged(m, ["puck"], ["log1p_total_counts", "log1p_n_genes", "pct_top_20"], "pct_counts_mt", nmads)
-    good = x.join(flags.where("NOT outlier AND NOT mt_outlier").select("cell"), "cell", "left_semi")
+    good = stored(x.join(flags.where("NOT outlier AND NOT mt_outlier").select("cell"), "cell", "left_semi"), "good-cells")
     cells = good.groupBy("cell").agg(F.count_if(F.col("value") > 0).alias("n")).where(F.col("n") >= min_genes)
     kept = good.join(cells.select("cell"), "cell", "left_semi")
     genes = kept.groupBy("puck", "gene").agg(F.count_if(F.col("value") > 0).alias("n")).where(F.col("n") >= min_cells)

@@ -19,7 +19,7 @@ def write_matrix(x: DataFrame, folder: str, partition: str = "puck") -> None:
 
 def write_text(df: DataFrame, folder: str, sep: str = "\t", digits: dict[str, int] | None = None) -> None:
     """A text table with a header; columns with digits are rounded (SNK2)."""
-    out = df.withColumns({c: F.format_number(c, n) for c, n in (digits or {}).items()})
+    out = df.withColumns({c: F.format_string(f"%.{n}f", F.col(c).cast("double")) for c, n in (digits or {}).items()})
     out.write.mode("overwrite").option("header", True).option("sep", sep).csv(folder)
 
 
@@ -34,12 +34,55 @@ def market_parts(x: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return x.join(genes, "gene").join(cells, "cell").select("g", "c", "value"), genes, cells
 
 
+def one_file(lines: DataFrame, order: list[str], path: str) -> None:
+    """The column ``value`` in the order of some columns as one text file, which
+    one task writes after a sort that may spill."""
+    spark, parts = lines.sparkSession, f"{path}.parts"
+    lines.repartition(1).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = [x.getPath() for x in system.listStatus(hadoop.Path(parts)) if x.getPath().getName().startswith("part-")]
+    system.delete(hadoop.Path(path), True)
+    if made:
+        system.rename(made[0], hadoop.Path(path))
+    else:
+        system.create(hadoop.Path(path)).close()
+    system.delete(hadoop.Path(parts), True)
+
+
 def write_market(x: DataFrame, folder: str) -> None:
-    """matrix.mtx, genes.tsv and barcodes.tsv as folders of text (SNK5, SNK9)."""
+    """matrix.mtx (banner, size line, entries by cell and gene), genes.tsv and
+    barcodes.tsv, each one file, as the format wants (SNK5, SNK9)."""
     entries, genes, cells = market_parts(x)
-    entries.select(F.concat_ws(" ", "g", "c", F.col("value").cast("string"))).write.mode("overwrite").text(f"{folder}/matrix.mtx")
-    genes.orderBy("g").select(F.col("gene").cast("string")).write.mode("overwrite").text(f"{folder}/genes.tsv")
-    cells.orderBy("c").select(F.col("cell").cast("string")).write.mode("overwrite").text(f"{folder}/barcodes.tsv")
+    sizes = [df.count() for df in (genes, cells, entries)]
+    head = x.sparkSession.createDataFrame([(0, 0, 0, "%%MatrixMarket matrix coordinate real general"), (0, 0, 1, " ".join(map(str, sizes)))], "part int, c bigint, g bigint, value string")
+    body = entries.select(F.lit(1).alias("part"), "c", "g", F.concat_ws(" ", "g", "c", F.col("value").cast("string")).alias("value"))
+    one_file(head.unionByName(body), ["part", "c", "g"], f"{folder}/matrix.mtx")
+    one_file(genes.select("g", F.col("gene").cast("string").alias("value")), ["g"], f"{folder}/genes.tsv")
+    one_file(cells.select("c", F.col("cell").cast("string").alias("value")), ["c"], f"{folder}/barcodes.tsv")
+
+
+def append_features(spark: SparkSession, folder: str, names: DataFrame) -> None:
+    """Genes (column gene) that genes.tsv lacks go to its end, and the size line
+    of matrix.mtx counts them; nothing else changes (SNK9)."""
+    from . import tables
+
+    own = tables.numbered_lines(spark, f"{folder}/genes.tsv").select(F.col("value").alias("gene"), F.col("k").alias("g"))
+    n = own.count()
+    new = dense_ids(names.select(F.col("gene").cast("string").alias("gene")).join(own, "gene", "left_anti"), "gene", "g").select("gene", (F.col("g") + n).alias("g"))
+    total = n + new.count()
+    size = tables.size_line(spark, f"{folder}/matrix.mtx")
+    a = F.split(F.trim("value"), r"\s+")
+    numbered = tables.numbered_lines(spark, f"{folder}/matrix.mtx")
+    first = numbered.where(F.col("value") == size).agg(F.min("k")).first()[0]
+    changed = numbered.select(F.when(F.col("k") == first, F.concat_ws(" ", F.lit(total), a[1], a[2])).otherwise(F.col("value")).alias("value"), "k")
+    one_file(changed, ["k"], f"{folder}/matrix.new")
+    one_file(own.unionByName(new).select("g", F.col("gene").alias("value")), ["g"], f"{folder}/genes.new")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for made, name in (("matrix.new", "matrix.mtx"), ("genes.new", "genes.tsv")):
+        system.delete(hadoop.Path(f"{folder}/{name}"), True)
+        system.rename(hadoop.Path(f"{folder}/{made}"), hadoop.Path(f"{folder}/{name}"))
 
 
 def stage_path(folder: str, name: str, parameters: dict) -> str:

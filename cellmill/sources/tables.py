@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,18 +73,46 @@ def sniffed(spark: SparkSession, path: str, needed: list[str], least_bytes: int
     return spark.read.option("header", True).option("sep", sep).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
 
 
-def market_matrix(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """cell, gene, value of a matrix.mtx with barcodes.tsv and genes.tsv (SRC7)."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, k: the lines of a file, or of a folder's files in the order of their
+    names, numbered from 1.  Blocks of files are numbered by themselves, after
+    the sizes of those before them; the driver gets a size a block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    before, starts = 0, []
+    for r in sorted(lines.groupBy("f", "b").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["f"], r["b"])):
+        starts.append((r["f"], r["b"], before))
+        before += r["n"]
+    own = spark.createDataFrame(starts, "f string, b bigint, before bigint")
+    w = Window.partitionBy("f", "b").orderBy("m")
+    return lines.withColumn("r", F.row_number().over(w)).join(F.broadcast(own), ["f", "b"]).select("value", (F.col("before") + F.col("r")).alias("k"))
+
+
+def size_line(spark: SparkSession, path: str) -> str:
+    """The first line of a coordinate matrix that is no comment; a read of the
+    first file's beginning."""
+    first = sorted(spark.read.text(path).inputFiles())[0]
+    found = spark.read.text(first).where(~F.col("value").startswith("%")).limit(1).first()
+    if found is None:
+        raise ValueError(f"{path} has no size line")
+    return found[0]
 
-    def numbered(name: str) -> DataFrame:
-        w = F.monotonically_increasing_id() + 1  # one file of one line range: the order in the file
-        return spark.read.text(f"{folder}/{name}{suffix}").coalesce(1).select(F.split("value", "\t")[0].alias("name"), w.alias("k"))
 
+def market_matrix(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """cell, gene, value of a matrix.mtx with barcodes.tsv and genes.tsv (SRC7).
+
+    Entries are read in parallel.  The size line is left out by what it says;
+    an entry that says the same is put back (entries are unique).
+    """
+    names = lambda name, k, out: numbered_lines(spark, f"{folder}/{name}{suffix}").select(F.split("value", "\t")[0].alias(out), F.col("k").alias(k))
+    path = f"{folder}/matrix.mtx{suffix}"
+    size = size_line(spark, path)
+    lines = spark.read.text(path).where(~F.col("value").startswith("%"))
+    body = lines.where(F.col("value") != size)
+    if lines.where(F.col("value") == size).count() > 1:
+        body = body.unionByName(spark.createDataFrame([(size,)], "value string"))
     a = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(f"{folder}/matrix.mtx{suffix}").where(~F.col("value").startswith("%")).coalesce(1).withColumn("n", F.monotonically_increasing_id())
-    body = lines.where("n > 0").select(a[0].cast("long").alias("g"), a[1].cast("long").alias("c"), a[2].cast("double").alias("value"))
-    genes, cells = numbered("genes.tsv"), numbered("barcodes.tsv")
-    return body.join(genes.select(F.col("k").alias("g"), F.col("name").alias("gene")), "g").join(cells.select(F.col("k").alias("c"), F.col("name").alias("cell")), "c").where("value <> 0").select("cell", "gene", "value")
+    entries = body.select(a[0].try_cast("long").alias("g"), a[1].try_cast("long").alias("c"), a[2].try_cast("double").alias("value")).where("value <> 0")
+    return entries.join(names("genes.tsv", "g", "gene"), "g").join(names("barcodes.tsv", "c", "cell"), "c").select("cell", "gene", "value")
 
 
 def annotated(spark: SparkSession, folder: str, part: str, columns: list[str] | None = None) -> DataFrame:
