@@ -13,12 +13,12 @@ from .registry import CELLS, CODES, COUNTS, READS, SIGNATURES, X, query, r6
 # variants and molecules
 
 
-@query(f"""WITH {CODES}, f AS (SELECT *, ref IN ('A', 'G') AS flip FROM codes WHERE length(context) = 3 AND ref <> ''),
+@query(f"""WITH {CODES}, f AS (SELECT *, ref IN ('A', 'G') AS flip FROM codes WHERE ref <> alt),
     g AS (SELECT site, CASE WHEN flip THEN reverse(translate(ref, 'ACGT', 'TGCA')) ELSE ref END AS r, CASE WHEN flip THEN reverse(translate(alt, 'ACGT', 'TGCA')) ELSE alt END AS a, CASE WHEN flip THEN reverse(translate(context, 'ACGT', 'TGCA')) ELSE context END AS c FROM f)
-    SELECT site, substr(c, 1, 1) || '[' || r || '>' || a || ']' || substr(c, 3, 1) AS class FROM g WHERE r <> a AND a <> ''""")
+    SELECT site, substr(c, 1, 1) || '[' || r || '>' || a || ']' || substr(c, 3, 1) AS class, count(*) AS n FROM g GROUP BY 1, 2""")
 def revcomp_context96(spark: SparkSession, sf: str) -> DataFrame:
-    some = variants.substitutions(t.codes(spark, sf), "ref", "alt", "context").where(F.length("context") == 3)
-    return some.select("site", text.mutation_context(F.col("ref"), F.col("alt"), F.col("context")).alias("class"))
+    some = variants.substitutions(t.codes(spark, sf), "ref", "alt", "context")
+    return some.groupBy("site", text.mutation_context(F.col("ref"), F.col("alt"), F.col("context")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {COUNTS}, k AS (SELECT DISTINCT cell FROM counts), d AS (SELECT CAST(c AS INTEGER) AS context FROM range(96) t(c))
@@ -152,12 +152,11 @@ PEARSON = f"""{X}, d AS (SELECT cell, sum(value) AS d FROM x GROUP BY 1), g AS (
 
 
 @query(f"""WITH {PEARSON}, h AS (SELECT d, count(*) AS m FROM d GROUP BY 1),
-    zero AS (SELECT gene, sum(m * greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100))) AS s, sum(m * power(greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100)), 2)) AS ss FROM g, h, tot WHERE gene <= 100 GROUP BY 1),
+    zero AS (SELECT gene, sum(m * greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100))) AS s, sum(m * power(greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100)), 2)) AS ss FROM g, h, tot GROUP BY 1),
     more AS (SELECT gene, sum(z - z0) AS s, sum(z * z - z0 * z0) AS ss FROM zf GROUP BY 1)
     SELECT zero.gene, round((zero.s + coalesce(more.s, 0)) / n, 6) AS residual_mean, round((zero.ss + coalesce(more.ss, 0)) / n - power((zero.s + coalesce(more.s, 0)) / n, 2), 6) AS residual_variance FROM zero LEFT JOIN more USING (gene), tot""")
 def pearson_residual_variance(spark: SparkSession, sf: str) -> DataFrame:
-    """The genes of the first hundred parts, as the SQL forms every pair of gene and total."""
-    return embedding.residual_variance(t.matrix(spark, sf)).where("gene <= 100").withColumns({c: r6(c) for c in ("residual_mean", "residual_variance")})
+    return embedding.residual_variance(t.matrix(spark, sf)).withColumns({c: r6(c) for c in ("residual_mean", "residual_variance")})
 
 
 @query()
@@ -165,11 +164,11 @@ def pearson_residual_hvg(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.variable_genes(t.matrix(spark, sf), top=100)
 
 
-@query(f"""WITH x AS (SELECT l_orderkey AS cell, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY 1, 2), d AS (SELECT cell, sum(value) AS d FROM x GROUP BY 1), g AS (SELECT gene, sum(value) AS g FROM x GROUP BY 1), tot AS (SELECT sum(value) AS t, sqrt(count(DISTINCT cell)) AS clip FROM x)
+@query(f"""WITH x AS (SELECT l_orderkey AS cell, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2), d AS (SELECT cell, sum(value) AS d FROM x GROUP BY 1), g AS (SELECT gene, sum(value) AS g FROM x GROUP BY 1), tot AS (SELECT sum(value) AS t, sqrt(count(DISTINCT cell)) AS clip FROM x)
     SELECT cell, gene, round(greatest(-clip, least(clip, (value - d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100))), 6) AS value, round(greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100)), 6) AS base FROM x JOIN d USING (cell) JOIN g USING (gene), tot""")
 def pearson_residual_values(spark: SparkSession, sf: str) -> DataFrame:
     x = t.matrix(spark, sf)
-    return embedding.residuals(x, x.where("gene % 10 = 0").select("gene").distinct()).withColumns({c: r6(c) for c in ("value", "base")})
+    return embedding.residuals(x, x.select("gene").distinct()).withColumns({c: r6(c) for c in ("value", "base")})
 
 
 @query(f"""WITH {NORM}, l AS (SELECT gene, sum(exp(v) - 1) AS s, sum((exp(v) - 1) * (exp(v) - 1)) AS ss FROM norm GROUP BY 1),
@@ -248,7 +247,7 @@ def elbow_marginal(spark: SparkSession, sf: str) -> DataFrame:
 # markers
 
 WILCOXON = f"""{NORM}, {CELLS}, grp AS (SELECT cell, puck AS grp FROM cells WHERE cell IN (SELECT cell FROM x)), sz AS (SELECT grp, count(*) AS n_in FROM grp GROUP BY 1), nn AS (SELECT count(*) AS n FROM grp),
-    v AS (SELECT * FROM norm WHERE gene <= 200 AND v > 0),
+    v AS (SELECT * FROM norm WHERE v > 0),
     rk AS (SELECT v.gene, v.cell, v.v, rank() OVER (PARTITION BY v.gene ORDER BY v.v) + (count(*) OVER (PARTITION BY v.gene, v.v) - 1) / 2.0 + n - count(*) OVER (PARTITION BY v.gene) AS r FROM v, nn),
     pr AS (SELECT gene, grp, sum(r) AS s, count(*) AS k, sum(exp(v) - 1) AS lin FROM rk JOIN grp USING (cell) GROUP BY 1, 2), al AS (SELECT gene, sum(k) AS kall, sum(lin) AS linall FROM pr GROUP BY 1),
     o AS (SELECT al.gene, sz.grp, n_in, n - n_in AS n_out, coalesce(s, 0) + (n_in - coalesce(k, 0)) * (n - kall + 1) / 2.0 AS rank_sum, n, coalesce(k, 0) AS k, kall FROM al CROSS JOIN sz LEFT JOIN pr ON pr.gene = al.gene AND pr.grp = sz.grp, nn)"""
@@ -256,14 +255,13 @@ WILCOXON = f"""{NORM}, {CELLS}, grp AS (SELECT cell, puck AS grp FROM cells WHER
 
 @query(f"""WITH {WILCOXON} SELECT gene, grp, n_in, n_out, rank_sum, round((rank_sum - n_in * (n + 1) / 2.0) / sqrt(n_in * n_out * (n + 1) / 12.0), 6) AS z, round(k / n_in, 6) AS pct_in, round((kall - k) / n_out, 6) AS pct_out FROM o""")
 def wilcoxon_rank_sums(spark: SparkSession, sf: str) -> DataFrame:
-    """The genes of the first two hundred parts, as the SQL takes them."""
-    return tested(spark, sf, "gene <= 200").select("gene", "grp", "n_in", "n_out", "rank_sum", r6("z").alias("z"), r6("pct_in").alias("pct_in"), r6("pct_out").alias("pct_out"))
+    return tested(spark, sf).select("gene", "grp", "n_in", "n_out", "rank_sum", r6("z").alias("z"), r6("pct_in").alias("pct_in"), r6("pct_out").alias("pct_out"))
 
 
-def tested(spark: SparkSession, sf: str, genes: str = "true") -> DataFrame:
+def tested(spark: SparkSession, sf: str) -> DataFrame:
     x = norm(spark, sf)
     groups = t.cells(spark, sf).select("cell", F.col("puck").alias("grp")).join(x.select("cell"), "cell", "left_semi")
-    return stats.rank_sums(x.where(genes), groups)
+    return stats.rank_sums(x, groups)
 
 
 @query()
@@ -307,13 +305,13 @@ def panel_prune_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return markers.prune_reasons(panel(spark, sf), 20, ("STANDARD",), ("PROMO TIN",), ("SMALL TIN",)).select("compartment", "gene", "reason")
 
 
-@query(f"""WITH {X}, {CELLS}, m AS (SELECT cell, depth > 150000 AS m FROM cells), n AS (SELECT count(*) FILTER (m) AS a, count(*) FILTER (NOT m) AS b FROM m), g AS (SELECT DISTINCT gene FROM x WHERE gene % 20 = 0),
+@query(f"""WITH {X}, {CELLS}, m AS (SELECT cell, depth > 150000 AS m FROM cells), n AS (SELECT count(*) FILTER (m) AS a, count(*) FILTER (NOT m) AS b FROM m), g AS (SELECT DISTINCT gene FROM x),
     k AS (SELECT gene, count(*) FILTER (m) AS a, count(*) FILTER (NOT m) AS b FROM x JOIN m USING (cell) WHERE value > 0 GROUP BY 1), r AS (SELECT g.gene, coalesce(k.a, 0) / n.a AS i, coalesce(k.b, 0) / n.b AS o FROM g LEFT JOIN k USING (gene), n)
     SELECT gene, round(i, 6) AS rate_in, round(o, 6) AS rate_out, CASE WHEN o > 0 THEN round(i / o, 6) WHEN i > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS fold FROM r""")
 def detection_fold(spark: SparkSession, sf: str) -> DataFrame:
     x = t.matrix(spark, sf)
     cells = t.cells(spark, sf).select("cell", (F.col("depth") > 150000).alias("mask"))
-    return markers.detection_fold(x, cells, "mask", x.where("gene % 20 = 0").select("gene").distinct()).withColumns({c: r6(c) for c in ("rate_in", "rate_out", "fold")})
+    return markers.detection_fold(x, cells, "mask", x.select("gene").distinct()).withColumns({c: r6(c) for c in ("rate_in", "rate_out", "fold")})
 
 
 @query(f"""WITH {X}, {CELLS}, f AS (SELECT cell, cell IN (SELECT cell FROM x WHERE gene % 7 = 0 AND value > 0) AS a, cell IN (SELECT cell FROM x WHERE gene % 11 = 0 AND value > 0) AS b FROM cells)

@@ -16,10 +16,9 @@ CELLS = "cells AS (SELECT o_orderkey AS cell, o_orderstatus AS puck, o_totalpric
 GENES = "genes AS (SELECT p_partkey AS gene, p_type AS name, p_size <= 5 AS mt, p_size > 45 AS ribo FROM part)"
 VOTES = "votes AS (SELECT event_id AS cell, CAST(user_id % 40 AS VARCHAR) AS cluster, event_type AS label, value AS score FROM events)"
 READS = "reads AS (SELECT user_id % 100 AS cb, event_id % 7 AS ub, event_type AS taxid FROM events)"
-CODES = """codes AS (
-    SELECT site, substr(b, 2, 1) AS ref, substr(b, 5, 1) AS alt, substr(b, 1, 3) AS context
-    FROM (SELECT doc_id AS site, translate(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 12), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS b FROM documents))"""
-COUNTS = "counts AS (SELECT l_suppkey % 50 AS cell, CAST(l_partkey % 96 AS INTEGER) AS context, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+CODES = """letters AS (SELECT doc_id AS site, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS b FROM documents),
+    codes AS (SELECT site, substr(b, i + 1, 1) AS ref, substr(b, i + 2, 1) AS alt, substr(b, i, 3) AS context FROM (SELECT site, b, unnest(range(1, length(b) - 1)) AS i FROM letters))"""
+COUNTS = "counts AS (SELECT l_suppkey AS cell, CAST(l_partkey % 96 AS INTEGER) AS context, count(*) AS n FROM lineitem GROUP BY 1, 2)"
 SIGNATURES = """sig AS (
     SELECT context, 'S' || s AS signature, (1 + (context * (s + 2)) % 7) / sum(1 + (context * (s + 2)) % 7) OVER (PARTITION BY s) AS h
     FROM (SELECT CAST(c AS INTEGER) AS context FROM range(96) t(c)), (SELECT CAST(c AS INTEGER) AS s FROM range(4) u(c)))"""

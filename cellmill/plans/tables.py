@@ -49,17 +49,20 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site, ref, alt, context: three letters of each document as bases."""
+    """site, ref, alt, context: every three letters in a row of each whole
+    document as bases; the second is the reference, the third what it became."""
     d = table(spark, sf_dir, "documents")
-    text = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    bases = F.translate(F.substring(text, 1, 12), LETTERS, LETTER_BASES)
-    return d.select(F.col("doc_id").alias("site"), F.substring(bases, 2, 1).alias("ref"), F.substring(bases, 5, 1).alias("alt"), F.substring(bases, 1, 3).alias("context"))
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, LETTER_BASES)
+    some = d.select(F.col("doc_id").alias("site"), F.filter(F.split(letters, ""), lambda x: x != "").alias("a")).where(F.size("a") >= 3)
+    n = F.size("a") - 2
+    three = some.select("site", F.explode(F.arrays_zip(F.slice("a", F.lit(1), n).alias("x"), F.slice("a", F.lit(2), n).alias("y"), F.slice("a", F.lit(3), n).alias("z"))).alias("b"))
+    return three.select("site", F.col("b.y").alias("ref"), F.col("b.z").alias("alt"), F.concat("b.x", "b.y", "b.z").alias("context"))
 
 
 def mutation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell, context (0 to 95), n: a small count matrix of suppliers by classes."""
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_suppkey") % 50).alias("cell"), (F.col("l_partkey") % 96).cast("int").alias("context")).agg(F.count("*").alias("n"))
+    return li.groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 96).cast("int").alias("context")).agg(F.count("*").alias("n"))
 
 
 def signature_share(context: Column, signature: int) -> Column:
