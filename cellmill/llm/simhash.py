@@ -296,4 +296,5 @@ def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     own = written(own, "fingerprints")
     first = own.groupBy("f").agg(F.min(F.struct("i", "r")).alias("k")).join(rooted(own, tau), "f").groupBy("root").agg(F.min("k").alias("k"))
     keep = written(first.select(F.col("k.r").alias("__keep")), "kept")
-    return rows.join(keep, row == F.col("__keep"), "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    # ids kept grow with the corpus: they are sent by id, never broadcast
+    return rows.join(keep.hint("merge"), row == F.col("__keep"), "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
