@@ -281,7 +281,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col
     odds = log_odds(F.col("toxic"), F.col("other"), kinds)
     found = text_counts(rows, "t", "l").where(odds >= float(EDGES[0]))
     without = {2: odds, 1: log_odds(F.col("toxic") - 1, F.col("other"), kinds), 0: log_odds(F.col("toxic"), F.greatest(F.col("other") - 1, F.lit(0)), kinds)}
-    best = found.select("word", *(o.alias(f"o{k}") for k, o in without.items())).orderBy("word").collect()
+    best = sorted(found.select("word", *(o.alias(f"o{k}") for k, o in without.items())).collect(), key=lambda r: r["word"])
     lexicons = {k: {r["word"]: int(np.searchsorted(EDGES, r[f"o{k}"], side="right")) for r in best} for k in without}
     ids = [kept.where(F.col("l") == k).orderBy(F.xxhash64("i"), "i").limit(MOST_ROWS) for k in (0, 1)]
     chosen = ids[0].unionByName(ids[1])  # at most 2 * MOST_ROWS rows
