@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank
+from ..sources.scratch import stored
 from .qc import exact_percentiles
 
 
@@ -51,9 +52,11 @@ def cumulative_distribution(df: DataFrame, value: str, by: list[str], out: str =
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str], key: str, out: str = "p_adj") -> DataFrame:
     """Adjusted p-values within groups: p * m / rank, the running minimum from
     the largest down, 1 at most (STA13).  Groups are ordered range by range; the
-    minimum of the ranges after a row's own is looked up."""
+    minimum of the ranges after a row's own is looked up.  The tests are stored
+    first, as several steps read them."""
+    df = stored(df, "tests")
     total = df.groupBy(*by).agg(F.count("*").alias("__m"))
-    ranked = running(df, by, [p, key]).join(total, by).withColumn("__q", F.col(p) * F.col("__m") / (F.col("__before") + F.col("__row")))
+    ranked = stored(running(df, by, [p, key]).join(total, by).withColumn("__q", F.col(p) * F.col("__m") / (F.col("__before") + F.col("__row"))), "ranked")
     least = ranked.groupBy(*by, "__part").agg(F.min("__q").alias("__least"))
     after = Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)  # a row a range
     later = least.select(*by, "__part", F.min("__least").over(after).alias("__later"))
