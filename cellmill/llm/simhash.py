@@ -73,11 +73,17 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> n
         start = (end - size)[: 1 - shingle].tolist()
         hashes += [digest(line[a:b], seed) for a, b in zip(start, end[shingle - 1 :].tolist(), strict=True)]
         sizes[i] = len(start)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashes, np.uint64), sizes)
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """uint64 a text: the bits set in over half of its own ``hashes``, which
+    lie text after text, ``sizes[i]`` of them for text i; zero for none."""
+    out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    spread = _SPREAD[np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)]
+    spread = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
     first = np.cumsum(sizes[full]) - sizes[full]
     runs = -(-sizes[full] // 255)  # a counter of a byte holds 255 shingles
     owner = np.repeat(np.arange(len(full)), runs)
