@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, decontam, langid, mtree, secrets, simhash, suffixdedup, toxicity, warc
+from . import binpack, bpe, decontam, langid, mtree, secrets, simhash, suffixdedup, toxicity, warc, whitening
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,7 +72,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits, op11_embedding_whitening)}
 
 ORACLE_SQL = {
     "op1_exact_top_k": """
