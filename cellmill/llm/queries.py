@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, decontam, langid, mtree, secrets, simhash, suffixdedup, toxicity, warc, whitening
+from . import binpack, bpe, decontam, langid, mtree, packing, secrets, simhash, suffixdedup, toxicity, warc, whitening
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -76,7 +76,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits, op11_embedding_whitening)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits, op11_embedding_whitening, op13_packing)}
 
 ORACLE_SQL = {
     "op1_exact_top_k": """
