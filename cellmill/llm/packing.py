@@ -42,8 +42,9 @@ from .scratch import written
 from .textbatch import gathered, pieces, plain
 
 WIDTH = 2048
-#: Lengths are counted in units of so many ids.
-GRAIN = 8
+#: Lengths are counted in units of so many ids: finer ones leave smaller gaps,
+#: and the linear program takes longer.
+GRAIN = 16
 #: Tails are set aside in steps of 1 / SLICES of all.
 SLICES = 256
 #: Changes of the linear program's basis, at most so many a length; its last
