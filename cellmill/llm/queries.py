@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bpe, decontam, langid, mtree, packing, secrets, simhash, suffixdedup, toxicity, warc, whitening
+from . import binpack, bpe, decontam, langid, mtree, packing, phrases, secrets, simhash, suffixdedup, toxicity, warc, whitening
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -76,11 +76,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits, op11_embedding_whitening, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_bpe_round_trip, op3_secret_scan, op4_simhash_components, op5_toxicity, op6_packed_ids, op7_decontamination, op8_suffix_dedup, op9_language_id, op10_warc_revisits, op11_embedding_whitening, op12_phrases, op13_packing)}
 
 ORACLE_SQL = {
     "op1_exact_top_k": """
@@ -103,4 +107,26 @@ ORACLE_SQL = {
                CASE WHEN n >= 100 AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND m <> page_id THEN m END AS refers_to
         FROM p""",
+    "op12_phrases": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM d),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+            FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+        cut AS (SELECT lang, k, phrase, a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 : k], ' ') AS y FROM c, (VALUES (1), (2)) AS t(j) WHERE j < k),
+        s AS (
+            SELECT cut.lang, cut.k, cut.phrase, cut.a, j, l.a AS l, r.a AS r, (CAST(1000000 AS HUGEINT) * cut.a * cut.a) // (CAST(l.a AS HUGEINT) * r.a) AS score
+            FROM cut JOIN f l ON l.lang = cut.lang AND l.k = j AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.k = cut.k - j AND r.phrase = y),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+        inner_ AS (
+            SELECT lang, phrase, max(f) AS f FROM (
+                SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a AS f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM c WHERE k = 3) GROUP BY 1, 2),
+        o AS (SELECT b.* FROM b LEFT JOIN inner_ i ON b.k = 2 AND i.lang = b.lang AND i.phrase = b.phrase WHERE NOT coalesce(100 * i.f >= 50 * b.a, false)),
+        q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT q.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000""",
 }
