@@ -19,9 +19,13 @@ from ..sources.scratch import stored
 HALVINGS = 64
 #: A scale is at least this share of the mean distance.
 LEAST_SCALE = 1e-3
-#: Shares of the nodes that want to move of which a round lets some go.  The
-#: next one is tried where moves of neighbours spoil one another.
-SHARES = (0.5, 0.125, 0.03125)
+#: Shares of the nodes that want to move of which a round lets some go, beside the
+#: node that gains most.  The next one is tried where moves of neighbours spoil
+#: one another.
+SHARES = (0.5, 0.125, 0.03125, 0.0)
+#: A round that raises the modularity by less lets fewer nodes move in the next,
+#: and after a level that does so communities are merged as they are.
+LEAST_RISE = 1e-4
 EPS = 1e-12
 
 
@@ -116,44 +120,51 @@ class _Level:
         """What a node pays for a community of which the others have this degree."""
         return self.resolution * F.col(degree) * (F.col(others) if isinstance(others, str) else others) / self.total
 
-    def moved(self, nodes: DataFrame, level: int, most_rounds: int = 40) -> DataFrame:
-        """node, k, community after local moves that raise the modularity.
+    def judged(self, nodes: DataFrame) -> DataFrame:
+        """node, k, community, ck (its degree), inside (the weight of the node's links
+        in it), to: the community that a move would gain most in, or null, and rise:
+        by how much that move alone would raise the modularity."""
+        there = nodes.select(F.col("node").alias("dst"), F.col("community").alias("to"))
+        sums = self.links.join(there, "dst").groupBy("src", "to").agg(F.sum("w").alias("w"))
+        totals = nodes.groupBy("community").agg(F.sum("k").alias("ck"))
+        own = nodes.join(totals, "community")
+        reach = sums.join(own.withColumnRenamed("node", "src"), "src").join(totals.select(F.col("community").alias("to"), F.col("ck").alias("tk")), "to")
+        home = F.col("to") == F.col("community")
+        per_degree = lambda c: F.round(c / F.col("k"), 12)  # noqa: E731  # sums of other order are the same then
+        gain = per_degree(F.col("w") - self.toll("k", "tk"))
+        choice = reach.groupBy(F.col("src").alias("node")).agg(
+            F.max(F.when(~home, F.struct(gain.alias("gain"), (-F.col("to")).alias("to")))).alias("best"),
+            F.sum(F.when(home, F.col("w"))).alias("inside"),
+        )
+        stay = per_degree(F.coalesce("inside", F.lit(0.0)) - self.toll("k", F.col("ck") - F.col("k")))
+        return own.join(choice, "node", "left").select(
+            "node", "k", "community", "ck", F.coalesce("inside", F.lit(0.0)).alias("inside"),
+            F.when(F.col("best.gain") > stay, -F.col("best.to")).alias("to"), (2 * F.col("k") * (F.col("best.gain") - stay) / self.total).alias("rise"),
+        )
+
+    def moved(self, nodes: DataFrame, level: int, most_rounds: int = 40) -> tuple[DataFrame, float]:
+        """(node, k, community after local moves that raise the modularity; what it is then).
 
         All nodes look for their best community at once; of those that gain, a
-        seeded coin lets some move.  A round that lowers the modularity is taken
-        back, and fewer move."""
-        good, best, share, before = nodes, -math.inf, 0, nodes
+        seeded coin lets some move, and the one that gains most moves always.  A round that lowers the modularity is taken
+        back, and after one that doesn't raise it by LEAST_RISE fewer move.  A round
+        is one stored table, whose sums give the modularity before its moves."""
+        kept, best, share, first = nodes, -math.inf, 0, None
         for round_ in range(most_rounds):
-            there = nodes.select(F.col("node").alias("dst"), F.col("community").alias("to"))
-            sums = stored(self.links.join(there, "dst").groupBy("src", "to").agg(F.sum("w").alias("w")), "link-sums")
-            totals = stored(nodes.groupBy("community").agg(F.sum("k").alias("ck")), "totals")
-            own = nodes.join(totals, "community")
-            inside = sums.join(nodes.select(F.col("node").alias("src"), F.col("community").alias("to")), ["src", "to"]).agg(F.sum("w")).first()[0] or 0.0
-            q = inside / self.total - self.resolution * (totals.agg(F.sum((F.col("ck") / self.total) ** 2)).first()[0] or 0.0)
-            if q <= best + EPS:  # taken back
-                share += 1
-                if share == len(SHARES):
-                    return good
-                nodes = before = good
-                continue
-            good, best = nodes, q
-            reach = sums.join(own.withColumnRenamed("node", "src"), "src").join(totals.select(F.col("community").alias("to"), F.col("ck").alias("tk")), "to")
-            gain = F.col("w") - self.toll("k", F.col("tk") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0))
-            choice = reach.withColumn("gain", gain).groupBy("src").agg(
-                F.max(F.when(F.col("to") != F.col("community"), F.struct("gain", (-F.col("to")).alias("to")))).alias("best"),
-                F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay"),
-            )
-            judged = own.join(choice.withColumnRenamed("src", "node"), "node", "left")
-            stay = F.coalesce("stay", -self.toll("k", F.col("ck") - F.col("k")))
-            wants = F.coalesce(F.col("best.gain") > stay + EPS, F.lit(False))
-            goes = wants & (_coin(self.seed, level, round_, F.col("node")) < SHARES[share])
-            after = stored(judged.select("node", "k", F.when(goes, -F.col("best.to")).otherwise(F.col("community")).alias("community"), wants.alias("wants")), "nodes")
-            if not after.where("wants").limit(1).count():
-                return good
-            nodes = after.drop("wants")
-        return good
-
-    def refined(self, nodes: DataFrame, level: int, most_rounds: int = 12) -> DataFrame:
+            state = stored(self.judged(nodes), "judged")
+            # summed over nodes, k * ck makes the squares of the communities' degrees
+            inside, squares, most = state.agg(F.sum("inside"), F.sum(F.col("k") * F.col("ck")), F.max(F.when(F.col("to").isNotNull(), F.struct(F.round("rise", 12), (-F.col("node")).alias("node"))))).first()
+            q = inside / self.total - self.resolution * squares / self.total**2
+            share += q < best + LEAST_RISE
+            if q > best + EPS:
+                kept, best, first = state, q, most
+            if first is None or share == len(SHARES):
+                break
+            goes = F.col("to").isNotNull() & ((F.col("node") == -first["node"]) | (_coin(self.seed, level, round_, F.col("node")) < SHARES[share]))
+            nodes = kept.select("node", "k", F.when(goes, F.col("to")).otherwise(F.col("community")).alias("community"))
+        return kept.select("node", "k", "community"), best
+
+    def refined(self, nodes: DataFrame, level: int, most_rounds: int = 8) -> DataFrame:
         """node, k, community, part: communities divided into connected parts.
 
         Nodes begin alone.  A node that is alone and whose coin falls may join a
@@ -162,20 +173,19 @@ class _Level:
         at = nodes.select("node", "community")
         inner = self.links.join(at.select(F.col("node").alias("src"), "community"), "src").join(at.select(F.col("node").alias("dst"), F.col("community").alias("c2")), "dst").where("community = c2")
         inner = stored(inner.select("src", "dst", "w"), "inner")
-        now = stored(nodes.withColumn("part", F.col("node")), "parts")
+        now, idle = nodes.withColumn("part", F.col("node")), 0
         for round_ in range(most_rounds):
-            parts = stored(now.groupBy("part").agg(F.sum("k").alias("pk"), F.count("*").alias("size")), "part-sums")
+            parts = now.groupBy("part").agg(F.sum("k").alias("pk"), F.count("*").alias("size"))
             free = (F.col("size") == 1) & (_coin(self.seed, "part", level, round_, F.col("node")) < 0.5)
-            state = stored(now.join(parts, "part").withColumn("free", free), "states")
+            state = now.join(parts, "part").withColumn("free", free)
             firm = state.where("NOT free").select(F.col("node").alias("dst"), F.col("part").alias("to"), F.col("pk").alias("tk"))
             sums = inner.join(firm, "dst").groupBy("src", "to").agg(F.sum("w").alias("w"), F.first("tk").alias("tk"))
             gain = (F.col("w") - self.toll("k", "tk")).alias("gain")
             best = sums.join(state.where("free").select(F.col("node").alias("src"), "k"), "src").groupBy("src").agg(F.max(F.struct(gain, (-F.col("to")).alias("to"))).alias("best")).where(F.col("best.gain") > EPS)
             after = stored(state.join(best.withColumnRenamed("src", "node"), "node", "left").select("node", "k", "community", F.coalesce(-F.col("best.to"), "part").alias("part"), F.col("best").isNotNull().alias("joined")), "parts")
-            joined = after.where("joined").limit(1).count()
+            idle = 0 if after.where("joined").limit(1).count() else idle + 1
             now = after.drop("joined")
-            # a round of coins that all fell badly says nothing
-            if not joined and round_ % 2:
+            if idle == 2:  # one round of coins that all fell badly says nothing
                 break
         return now
 
@@ -198,15 +208,20 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, most_
     if not total:
         return nodes.select("node", "community")
     member = nodes.select("node", F.col("node").alias("at"))
+    reached, whole = -math.inf, False
     for level in range(most_levels):
         graph = _Level(links, total, resolution, seed)
-        nodes = graph.moved(nodes, level)
+        nodes, q = graph.moved(nodes, level)
         many, groups = nodes.agg(F.count("*"), F.count_distinct("community")).first()
-        if groups == many:
+        stalled = q < reached + LEAST_RISE
+        if groups == many or (stalled and whole):
             break
-        parts = graph.refined(nodes, level)
-        if parts.agg(F.count_distinct("part")).first()[0] == many:  # no part grew: communities become nodes
-            parts = parts.withColumn("part", F.col("community"))
+        reached, whole, parts = q, stalled, None
+        if not stalled:
+            parts = graph.refined(nodes, level)
+            whole = parts.agg(F.count_distinct("part")).first()[0] == many  # no part grew
+        if whole:  # communities become nodes
+            parts = nodes.withColumn("part", F.col("community"))
         part = parts.select("node", "part")
         ends = links.join(part.select(F.col("node").alias("src"), F.col("part").alias("p")), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("q")), "dst").where("p <> q")
         links = stored(ends.groupBy(F.col("p").alias("src"), F.col("q").alias("dst")).agg(F.sum("w").alias("w")), "links")
