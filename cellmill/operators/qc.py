@@ -22,7 +22,8 @@ def exact_percentiles(df: DataFrame, cols: list[str], by: list[str], at: tuple[f
     No group meets in one buffer.  A sketch a group brackets each percentile;
     what lies below the bracket is only counted, equal values inside it are
     counted once, and only those are put in order: some thousandths of a large
-    group's rows.
+    group's rows.  The counts show whether the wanted ranks lie inside; a bracket
+    that misses one is opened to the whole group.
     """
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols))
     rows = df.select(*by, F.explode(pairs).alias("__x")).select(*by, "__x.name", "__x.v").where("v IS NOT NULL")
@@ -32,15 +33,27 @@ def exact_percentiles(df: DataFrame, cols: list[str], by: list[str], at: tuple[f
     sketch = stored(sketch, "sketch")  # a row a group and column: its size is known, so joins broadcast it where it is small
     all_ = F.col("n") <= BRACKETED
     wanted = F.array(*(F.struct(F.lit(p).alias("at"), F.when(all_, F.lit(float("-inf"))).otherwise(F.col("e")[2 * k]).alias("low"), F.when(all_, F.lit(float("inf"))).otherwise(F.col("e")[2 * k + 1]).alias("high")) for k, p in enumerate(at)))
-    beside = rows.join(sketch.where("nans = 0").withColumn("w", wanted).select(*key, "n", "w"), key).withColumn("w", F.explode("w")).where("v <= w.high")
+    ends = stored(_inside(rows, sketch.where("nans = 0").select(*key, "n", F.explode(wanted).alias("w")), key), "percentiles")
+    missed = ends.where("NOT sure")
+    if missed.limit(1).count():
+        whole = F.struct("at", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+        ends = ends.where("sure").unionByName(_inside(rows, missed.select(*key, "n", whole.alias("w")), key))
+    full = sketch.select(*key, "n", "nans", F.explode(F.array(*map(F.lit, at))).alias("at"))
+    return full.join(ends.drop("n", "sure"), [*key, "at"], "left")
+
+
+def _inside(rows: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """key, at, n, value, and whether the brackets w (at, low, high) that were
+    ``asked`` for hold the ranks that make the value."""
+    beside = rows.join(asked, key).where("v <= w.high")
     values = beside.groupBy(*key, "w.at", "n", F.when(F.col("v") >= F.col("w.low"), F.col("v")).alias("v")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*key, "at").orderBy(F.asc_nulls_first("v"))
-    upto = values.withColumn("k", F.sum("k").over(w))
+    upto = values.withColumn("k", F.sum("k").over(Window.partitionBy(*key, "at").orderBy(F.asc_nulls_first("v"))))
     rank = F.col("at") * (F.col("n") - 1)
-    ends = upto.groupBy(*key, "at", "n").agg(F.min(F.when(F.col("k") > F.floor(rank), F.col("v"))).alias("a"), F.min(F.when(F.col("k") > F.ceil(rank), F.col("v"))).alias("b"))
-    exact = ends.select(*key, "at", (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("value"))
-    full = sketch.select(*key, "n", "nans", F.explode(F.array(*map(F.lit, at))).alias("at"))
-    return full.join(exact, [*key, "at"], "left")
+    end = lambda r: F.min(F.when(F.col("v").isNotNull() & (F.col("k") > r), F.col("v")))
+    below = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("k"))), F.lit(0))
+    found = upto.groupBy(*key, "at", "n").agg(end(F.floor(rank)).alias("a"), end(F.ceil(rank)).alias("b"), below.alias("below"), F.max("k").alias("upto"))
+    sure = (F.col("below") <= F.floor(rank)) & (F.col("upto") > F.ceil(rank))
+    return found.select(*key, "at", "n", (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("value"), sure.alias("sure"))
 
 
 def medians(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
@@ -53,7 +66,7 @@ def mad_bounds(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """Median and unscaled median absolute deviation of columns a group, as
     <col>_med and <col>_mad; both null where the column holds a NaN, which then
     marks nothing (AGG3)."""
-    med = stored(medians(df, cols, by).withColumnsRenamed({c: f"{c}_med" for c in cols}), "medians")
+    med = medians(df, cols, by).withColumnsRenamed({c: f"{c}_med" for c in cols})
     off = medians(df.join(med, by).select(*by, *(F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in cols)), cols, by)
     return med.join(off.withColumnsRenamed({c: f"{c}_mad" for c in cols}), by)
 
