@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .qc import exact_percentiles
+
+#: A local regression is fitted at so many evenly spaced percentiles of x, and at
+#: as many evenly spaced values, for where x is sparse.
+VERTICES = 17
 #: Distinct cell totals that a task holds at a time.
 DEPTHS = 1 << 16
 
@@ -30,8 +38,8 @@ def residual_variance(x: DataFrame, theta: float = 100.0) -> DataFrame:
     kind = dict(genes.dtypes)["gene"]
     mu = F.col("d") * F.col("g") / F.lit(t)
     z = lambda v: F.greatest(F.lit(-clip), F.least(F.lit(clip), (v - mu) / F.sqrt(mu + mu * mu / F.lit(theta))))
-    stored = x.join(depth, "cell").join(genes, "gene").withColumn("z", z(F.col("value"))).withColumn("z0", z(F.lit(0.0)))
-    more = stored.groupBy("gene").agg(F.sum(F.col("z") - F.col("z0")).alias("s"), F.sum(F.col("z") ** 2 - F.col("z0") ** 2).alias("ss"))
+    scored = x.join(depth, "cell").join(genes, "gene").withColumn("z", z(F.col("value"))).withColumn("z0", z(F.lit(0.0)))
+    more = scored.groupBy("gene").agg(F.sum(F.col("z") - F.col("z0")).alias("s"), F.sum(F.col("z") ** 2 - F.col("z0") ** 2).alias("ss"))
     histogram = depth.groupBy("d").agg(F.count("*").alias("m"))
     blocks = max(1, -(-histogram.count() // DEPTHS))
     base = None
@@ -97,6 +105,68 @@ def dispersion_genes(x: DataFrame, n_cells: int, min_mean: float = 0.0125, max_m
     return scored.select("gene", "mean", "dispersion", "dispersion_norm", good.alias("variable"))
 
 
+def local_regression(df: DataFrame, x: str, y: str, span: float = 0.3, out: str = "fit") -> DataFrame:
+    """``df`` with a local quadratic fit of y on x (STA5); null where x or y is
+    null or not finite.
+
+    The fit is made at VERTICES percentiles and even steps of x, each over the nearest ``span``
+    of the rows with tricube weights; between two of them a cubic takes their
+    values and slopes.  Rows meet a vertex in one grouped sum of ten moments, so
+    only a row a vertex reaches the driver.
+    """
+    good = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # noqa: E731  # NaN is larger than all
+    points = stored(df.where(good(x) & good(y)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
+    n = points.count()
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    at = tuple(k / (VERTICES - 1) for k in range(VERTICES))
+    knots = {r["value"] for r in exact_percentiles(points, ["x"], [], at).select("value").collect()}
+    low, high = min(knots), max(knots)
+    knots = sorted(knots | {low + (high - low) * p for p in at[1:-1]})
+    near = points.withColumn("knot", F.explode(F.array(*map(F.lit, knots)))).withColumn("d", F.abs(F.col("x") - F.col("knot")))
+    q = min(n, max(3, math.ceil(span * n)))
+    radius = exact_percentiles(near, ["d"], ["knot"], ((q - 1) / max(1, n - 1),)).select("knot", F.col("value").alias("h"))
+    radius = {r["knot"]: r["h"] for r in radius.collect()}
+    h = F.element_at(F.create_map(*(F.lit(c) for v in knots for c in (v, radius[v] or 1e-300))), F.col("knot"))
+    t = F.col("x") - F.col("knot")
+    inside = near.withColumns({"t": t, "w": F.pow(1 - F.pow(F.col("d") / h, 3.0), 3.0)}).where(F.col("d") < h)
+    t = F.col("t")
+    sums = inside.groupBy("knot").agg(
+        *(F.sum(F.col("w") * F.pow(t, float(k))).alias(f"s{k}") for k in range(5)), *(F.sum(F.col("w") * F.pow(t, float(k)) * F.col("y")).alias(f"y{k}") for k in range(3))
+    )
+    fits = {}
+    for r in sums.collect():  # two rows a vertex at most
+        a = np.array([[r[f"s{i + j}"] for j in range(3)] for i in range(3)])
+        scale = (radius[r["knot"]] or 1.0) ** np.arange(3)
+        fits[r["knot"]] = np.linalg.lstsq(a / np.outer(scale, scale), np.array([r[f"y{k}"] for k in range(3)]) / scale, rcond=1e-12)[0] / scale
+    f, g = (F.array(*(F.lit(float(fits[v][k])) for v in knots)) for k in range(2))
+    if len(knots) == 1:
+        return df.withColumn(out, F.when(good(x) & good(y), f[0]))
+    k = F.array(*map(F.lit, knots))
+    i = F.greatest(F.lit(1), F.least(F.lit(len(knots) - 1), F.size(F.filter(k, lambda e: e <= F.col(x)))))
+    wide = F.element_at(k, i + 1) - F.element_at(k, i)
+    u = (F.col(x) - F.element_at(k, i)) / wide
+    cubic = F.element_at(f, i) * (1 + 2 * u) * (1 - u) ** 2 + F.element_at(g, i) * wide * u * (1 - u) ** 2 + F.element_at(f, i + 1) * u * u * (3 - 2 * u) + F.element_at(g, i + 1) * wide * u * u * (u - 1)
+    return df.withColumn(out, F.when(good(x) & good(y), cubic))
+
+
+def fitted_variance(x: DataFrame, n_cells: int, span: float = 0.3) -> DataFrame:
+    """gene, mean, variance, variance_norm: the variance of counts as z-scores by
+    the deviation that genes of such a mean have, values clipped at the root of
+    the number of cells (STA5).  Genes that don't vary get 0."""
+    m = stored(moments(x, n_cells).withColumns({"lm": F.when(F.col("mean") > 0, F.log10("mean")), "lv": F.when(F.col("variance") > 0, F.log10("variance"))}), "moments")
+    fit = local_regression(m, "lm", "lv", span).withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.coalesce("fit", F.lit(0.0)))))
+    most = F.col("mean") + F.lit(math.sqrt(n_cells)) * F.col("sd")
+    sums = x.join(fit.select("gene", "mean", "sd"), "gene").withColumn("c", F.least(F.col("value").cast("double"), most)).groupBy("gene").agg(F.sum("c").alias("s"), F.sum(F.col("c") ** 2).alias("ss"))
+    norm = (n_cells * F.col("mean") ** 2 + F.col("ss") - 2 * F.col("mean") * F.col("s")) / (max(1, n_cells - 1) * F.col("sd") ** 2)
+    return fit.join(sums, "gene").select("gene", "mean", "variance", F.when(F.col("lv").isNull(), 0.0).otherwise(norm).alias("variance_norm"))
+
+
+def fitted_variable_genes(x: DataFrame, n_cells: int, top: int = 2000, span: float = 0.3) -> DataFrame:
+    """The ``top`` genes of the highest normalised variance; ties by name (STA5)."""
+    return fitted_variance(x, n_cells, span).orderBy(F.desc("variance_norm"), "gene").limit(top)
+
+
 def scaled(x: DataFrame, n_cells: int, most: float = 10.0) -> DataFrame:
     """Stored values as z-scores of their gene, ``most`` at most, and base: the
     z-score of a zero (STA6)."""

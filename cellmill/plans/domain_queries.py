@@ -181,6 +181,28 @@ def dispersion_hvg(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("gene", r6("mean").alias("mean"), r6("dispersion").alias("dispersion"), F.round("dispersion_norm", 5).alias("dispersion_norm"))
 
 
+@query(f"""WITH {X}, nc AS (SELECT count(DISTINCT cell) AS n FROM x), m AS (SELECT gene, n, sum(value) / n AS mean, (sum(CAST(value AS DOUBLE) * value) - n * power(sum(value) / n, 2)) / (n - 1) AS variance FROM x, nc GROUP BY gene, n),
+    p AS (SELECT gene, log10(mean) AS x, log10(variance) AS y FROM m WHERE mean > 0 AND variance > 0),
+    kn AS (SELECT unnest(quantile_cont(x, [{", ".join(str(k / 16) for k in range(17))}])) AS v FROM p UNION SELECT lo + (hi - lo) * k / 16 FROM (SELECT min(x) AS lo, max(x) AS hi FROM p), range(1, 16) t(k)),
+    cnt AS (SELECT least(count(*), greatest(3, ceil(0.3 * count(*)))) AS q FROM p),
+    nr AS (SELECT v, x - v AS t, abs(x - v) AS d, y, row_number() OVER (PARTITION BY v ORDER BY abs(x - v)) AS r FROM p, kn),
+    rad AS (SELECT v, max(d) AS h FROM nr, cnt WHERE r <= q GROUP BY 1),
+    w AS (SELECT v, h, t / h AS u, y, power(1 - power(d / h, 3), 3) AS w FROM nr JOIN rad USING (v) WHERE d < h),
+    s AS (SELECT v, h, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4, sum(w * y) AS y0, sum(w * u * y) AS y1, sum(w * u * u * y) AS y2 FROM w GROUP BY 1, 2),
+    c AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM s),
+    f AS (SELECT v, (y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - y2 * s3) + s2 * (y1 * s3 - y2 * s2)) / det AS f, (s0 * (y1 * s4 - s3 * y2) - y0 * (s1 * s4 - s3 * s2) + s2 * (s1 * y2 - y1 * s2)) / det / h AS g FROM c),
+    seg AS (SELECT v AS a, f, g, lead(v) OVER o AS b, lead(f) OVER o AS f2, lead(g) OVER o AS g2, max(v) OVER () AS top FROM f WINDOW o AS (ORDER BY v)),
+    e AS (SELECT gene, (x - a) / (b - a) AS u, b - a AS l, f, g, f2, g2 FROM p JOIN seg ON x >= a AND (x < b OR b = top)),
+    sd AS (SELECT gene, sqrt(power(10, f * (1 + 2 * u) * (1 - u) * (1 - u) + g * l * u * (1 - u) * (1 - u) + f2 * u * u * (3 - 2 * u) + g2 * l * u * u * (u - 1))) AS sd FROM e),
+    k AS (SELECT m.gene, n, mean, variance, sd, sum(least(value, mean + sqrt(n) * sd)) AS s, sum(power(least(value, mean + sqrt(n) * sd), 2)) AS ss FROM x JOIN m ON m.gene = x.gene JOIN sd ON sd.gene = x.gene GROUP BY ALL)
+    SELECT gene, round(mean, 6) AS mean, round(variance, 5) AS variance, round((n * mean * mean + ss - 2 * mean * s) / ((n - 1) * sd * sd), 4) AS variance_norm FROM k
+    UNION ALL SELECT gene, round(mean, 6), round(variance, 5), 0 FROM m WHERE gene NOT IN (SELECT gene FROM p)""")
+def fitted_variance_hvg(spark: SparkSession, sf: str) -> DataFrame:
+    x = t.matrix(spark, sf).withColumn("value", F.col("value").cast("double"))
+    out = embedding.fitted_variance(x, n_cells(spark, sf))
+    return out.select("gene", r6("mean").alias("mean"), F.round("variance", 5).alias("variance"), F.round("variance_norm", 4).alias("variance_norm"))
+
+
 @query(f"""WITH {NORM}, m AS (SELECT gene, sum(v) / n AS mu, (sum(v * v) - n * power(sum(v) / n, 2)) / (n - 1) AS var FROM norm, nc GROUP BY gene, n)
     SELECT cell, gene, round(least(10, (v - mu) / CASE WHEN var > 0 THEN sqrt(var) ELSE 1 END), 5) AS value, round(least(10, -mu / CASE WHEN var > 0 THEN sqrt(var) ELSE 1 END), 5) AS base FROM norm JOIN m USING (gene)""")
 def scale_clip(spark: SparkSession, sf: str) -> DataFrame:
