@@ -62,6 +62,16 @@ def delimited_file(spark: SparkSession, sf: str) -> DataFrame:
     return tables.delimited(spark, path, "o_orderkey bigint, o_orderstatus string, price string")
 
 
+@query("SELECT o_orderkey, o_custkey, 'sample_' || o_orderstatus AS sample FROM orders")
+def sampled_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of files a sample, read together; the path tells the sample."""
+    path = scratch.new_folder(spark, "samples")
+    orders = t.table(spark, sf, "orders")
+    for (status,) in orders.select("o_orderstatus").distinct().collect():  # three states
+        sinks.write_text(orders.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey"), f"{path}/sample_{status}")
+    return tables.with_sample(tables.delimited(spark, f"{path}/*", "o_orderkey bigint, o_custkey bigint"))
+
+
 @query("SELECT o_orderstatus AS chrom, CAST(o_orderkey AS VARCHAR) AS pos, 'PASS' AS filter FROM orders WHERE o_totalprice > 100000")
 def commented_file_passed(spark: SparkSession, sf: str) -> DataFrame:
     o = t.table(spark, sf, "orders")

@@ -144,3 +144,20 @@ def pip_burden_masked(spark: SparkSession, sf: str) -> DataFrame:
     m = t.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell")).agg(F.count("*").alias("mutations"))
     s = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").cast("int").alias("sites"))
     return pipelines.burden_masked(m, s).withColumn("burden", r6("burden"))
+
+
+@query(f"""WITH {X}, {CELLS}, vi AS (SELECT x.* FROM x JOIN part ON p_partkey = gene WHERE gene % 5 = 0 AND p_size > 10), ho AS (SELECT * FROM x WHERE gene % 5 <> 0),
+    cm AS (SELECT cell FROM vi INTERSECT SELECT cell FROM ho), bo AS (SELECT * FROM vi WHERE cell IN (FROM cm) UNION ALL SELECT * FROM ho WHERE cell IN (FROM cm)),
+    v AS (SELECT cell, gene, ln(1 + value * 1e4 / sum(value) OVER (PARTITION BY cell)) AS v FROM bo),
+    grp AS (SELECT cell, puck AS grp FROM cells WHERE cell IN (FROM cm)), sz AS (SELECT grp, count(*) AS n_in FROM grp GROUP BY 1), nn AS (SELECT count(*) AS n FROM grp),
+    rk AS (SELECT v.gene, v.cell, rank() OVER (PARTITION BY v.gene ORDER BY v.v) + (count(*) OVER (PARTITION BY v.gene, v.v) - 1) / 2.0 + n - count(*) OVER (PARTITION BY v.gene) AS r FROM v, nn),
+    pr AS (SELECT gene, grp, sum(r) AS s, count(*) AS k FROM rk JOIN grp USING (cell) GROUP BY 1, 2), al AS (SELECT gene, sum(k) AS kall FROM pr GROUP BY 1),
+    z AS (SELECT al.gene, (coalesce(s, 0) + (n_in - coalesce(k, 0)) * (n - kall + 1) / 2.0 - n_in * (n + 1) / 2.0) / sqrt(n_in * (n - n_in) * (n + 1) / 12.0) AS z FROM al CROSS JOIN sz LEFT JOIN pr ON pr.gene = al.gene AND pr.grp = sz.grp, nn)
+    SELECT gene, round(sum(z), 6) AS score FROM z WHERE z > 0.0001 AND gene % 5 = 0 GROUP BY 1 ORDER BY sum(z) DESC, gene LIMIT 10""")
+def pip_viruses_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth part stands for a taxon, the others for the host's genes."""
+    x = t.matrix(spark, sf)
+    wanted = t.table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("gene"))
+    groups = t.cells(spark, sf).select("cell", F.col("puck").alias("grp"))
+    found = pipelines.viruses_ranked(x.where("gene % 5 <> 0"), x.where("gene % 5 = 0"), wanted, groups)
+    return found.withColumn("score", r6("score"))
