@@ -9,44 +9,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
+
+#: A tile of more places is divided; a tile that coarser askers meet is dealt to
+#: blocks of about so many places; tiles are halved so often at most.
+DIVIDED, BLOCK, FINEST = 32, 4096, 44
 
-def plane_neighbours(points: DataFrame, k: int, batch: str = "puck", key: str = "cell", aim: int = 4, most_rounds: int = 24) -> DataFrame:
-    """batch, src, dst, dist: the k nearest other points within a batch, of
-    equal distances the smaller key (JOI15).  Points have x and y.
 
-    Points are dealt to square tiles that hold about ``aim`` of them; a point
-    meets those of the nine tiles around it.  What is nearer than the edge of
-    the nine is final.  Points without k such neighbours go on with tiles of
-    twice the side, against all points, until the tiles cover their batch.
+def plane_neighbours(points: DataFrame, k: int, batch: str = "puck", key: str = "cell", aim: int = 4) -> DataFrame:
+    """batch, src, dst, dist: the k nearest other points within a batch, of
+    equal distances the smaller key (JOI15).  Points have x and y; those without
+    a finite place, a batch or a key take no part.
+
+    Points of one place are asked for together, with the k + 1 smallest keys
+    there.  Places are dealt to square tiles that hold about ``aim`` of them on
+    an even plane, and a tile that holds more than ``DIVIDED`` is divided again,
+    so that crowded spots have small tiles and bare ones large.  A place meets
+    those of the nine tiles around it; what is nearer than their edge is final.
+    Others go on with tiles of twice the side, until they cover the batch.
     """
     spark = points.sparkSession
-    pts = points.select(F.col(batch).alias("b"), F.col(key).alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND i IS NOT NULL")
-    stats = pts.groupBy("b").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("span"), F.count("*").alias("n")).cache()
-    if stats.isEmpty():
-        return spark.createDataFrame([], "batch string, src bigint, dst bigint, dist double")
-    open_, done = pts.join(stats, "b").withColumn("side", F.col("span") / F.greatest(F.floor(F.sqrt(F.col("n") / F.lit(aim))), F.lit(1))), None
-    for _ in range(most_rounds):
-        sides = open_.select("b", "x0", "y0", "side").distinct()  # a row a batch
-        tile = lambda df: df.withColumn("tx", F.floor((F.col("x") - F.col("x0")) / F.col("side"))).withColumn("ty", F.floor((F.col("y") - F.col("y0")) / F.col("side")))
-        others = tile(pts.join(sides, "b")).select("b", "tx", "ty", F.col("i").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        shifts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a in (-1, 0, 1) for c in (-1, 0, 1)))
-        asked = tile(open_).withColumn("fx", F.col("x") - F.col("x0") - F.col("tx") * F.col("side")).withColumn("fy", F.col("y") - F.col("y0") - F.col("ty") * F.col("side"))
-        asked = asked.withColumn("safe", F.col("side") + F.least("fx", "fy", F.col("side") - F.col("fx"), F.col("side") - F.col("fy"))).withColumn("s", F.explode(shifts))
-        asked = asked.withColumn("tx", F.col("tx") + F.col("s.a")).withColumn("ty", F.col("ty") + F.col("s.c")).drop("s")
-        pairs = asked.join(others, ["b", "tx", "ty"]).where("i <> dst").withColumn("dist", F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2))
-        w = Window.partitionBy("b", "i").orderBy("dist", "dst")
-        near = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        # final: k neighbours inside the safe distance, or tiles that cover the batch
-        whole = F.col("side") >= F.col("span")
-        per = near.groupBy("b", "i").agg(F.count_if(F.col("dist") <= F.col("safe")).alias("ok"))
-        state = open_.join(per, ["b", "i"], "left").withColumn("final", (F.coalesce("ok", F.lit(0)) >= k) | whole).checkpoint() if spark.sparkContext.getCheckpointDir() else open_.join(per, ["b", "i"], "left").withColumn("final", (F.coalesce("ok", F.lit(0)) >= k) | whole).cache()
-        out = near.join(state.where("final").select("b", "i"), ["b", "i"]).select(F.col("b").alias("batch"), F.col("i").alias("src"), "dst", "dist")
-        done = out if done is None else done.unionByName(out)
-        rest = state.where("NOT final").drop("ok", "final")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    finite = (F.abs("x") < math.inf) & (F.abs("y") < math.inf) & F.col("i").isNotNull() & F.col("b").isNotNull()
+    pts = points.select(F.col(batch).alias("b"), F.col(key).alias("i"), x.alias("x"), y.alias("y")).where(finite)
+    first = F.row_number().over(Window.partitionBy("b", "x", "y").orderBy("i"))
+    held = pts.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("b", "x", "y").agg(F.sort_array(F.collect_list("i")).alias("keys"))
+    held = stored(held, "places")
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
+    frame = stored(held.groupBy("b").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), span.alias("span"), F.count("*").alias("n")), "frame")
+    even = F.greatest(F.floor(F.log2(F.sqrt(F.col("n") / F.lit(aim)))), F.lit(0)).cast("int")
+    places = _divided(held.join(frame, "b").withColumn("level", even).drop("n"), aim)
+    open_, rounds = places, []
+    while True:
+        near = _nearest_around(places, open_, k)
+        ok = F.size(F.filter("near", lambda q: q["dist"] <= F.col("safe"))) > k
+        state = stored(_tiled(open_).join(near, ["b", "x", "y"], "left").withColumn("final", F.coalesce(ok, F.lit(False)) | (F.col("level") <= 0)).drop("tx", "ty", "safe"), "neighbours")
+        rounds.append(state.where("final").select("b", "x", "y", "near"))
+        rest = state.where("NOT final").drop("near", "final")
+        if rest.isEmpty():
+            break
+        open_ = rest.withColumn("level", F.col("level") - 1)
+    found = rounds[0]
+    for part in rounds[1:]:
+        found = found.unionByName(part)
+    others = F.slice(F.filter("near", lambda q: q["dst"] != F.col("i")), 1, k)
+    out = pts.join(found, ["b", "x", "y"]).select("b", "i", F.explode(others).alias("q"))
+    return out.select(F.col("b").alias("batch"), F.col("i").alias("src"), F.col("q.dst").alias("dst"), F.col("q.dist").alias("dist"))
+
+
+def _tiled(places: DataFrame) -> DataFrame:
+    """``places`` with the tile of their level (tx, ty), and how far around them
+    the nine tiles surely reach (safe)."""
+    side = F.col("span") * F.pow(F.lit(0.5), F.col("level"))
+    px, py = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    tx, ty = F.floor(px / side), F.floor(py / side)
+    fx, fy = px - tx * side, py - ty * side
+    safe = side + F.least(fx, fy, side - fx, side - fy) - F.col("span") * 1e-14  # less what rounding can move
+    return places.withColumns({"tx": tx, "ty": ty, "safe": safe})
+
+
+def _divided(places: DataFrame, aim: int) -> DataFrame:
+    """``places`` at the level where their tile holds ``DIVIDED`` places at most.
+    A tile that holds more is divided at once as its extent and count suggest."""
+    open_, settled = places, None
+    while True:
+        tiles = ["b", "level", "tx", "ty"]
+        tiled = _tiled(open_).drop("safe")
+        box = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+        deeper = F.floor(F.log2(F.first("span") * F.pow(F.lit(0.5), F.col("level")) / box * F.sqrt(F.count("*") / F.lit(aim))))
+        full = tiled.groupBy(*tiles).agg(F.count("*").alias("n"), F.least(F.col("level") + F.greatest(deeper, F.lit(1)), F.lit(FINEST)).cast("int").alias("next")).where((F.col("n") > DIVIDED) & (F.col("level") < FINEST))
+        judged = stored(tiled.join(full.drop("n"), tiles, "left").drop("tx", "ty"), "tiles")
+        done = judged.where("next IS NULL").drop("next")
+        settled = done if settled is None else settled.unionByName(done)
+        rest = judged.where("next IS NOT NULL")
         if rest.isEmpty():
-            return done
-        open_ = rest.withColumn("side", F.col("side") * 2)
-    raise RuntimeError("neighbours weren't found in so many rounds")
+            return settled
+        open_ = rest.withColumn("level", F.col("next")).drop("next")
+
+
+def _nearest_around(places: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """b, x, y, near: of each place in ``asked``, the k + 1 nearest keys in the
+    nine tiles around it at its level, by distance and key."""
+    tile = ["b", "level", "tx", "ty"]
+    shifts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a in (-1, 0, 1) for c in (-1, 0, 1)))
+    asks = _tiled(asked).withColumn("s", F.explode(shifts)).select("b", "level", (F.col("tx") + F.col("s.a")).alias("tx"), (F.col("ty") + F.col("s.c")).alias("ty"), "x", "y")
+    levels = sorted(r["level"] for r in asked.select("level").distinct().collect())  # FINEST + 1 numbers at most
+    each = _tiled(places.withColumn("level", F.explode(F.array(*map(F.lit, levels)))))
+    seen = each.join(asks.select(*tile).distinct(), tile, "left_semi").select(*tile, F.col("x").alias("x2"), F.col("y").alias("y2"), "keys")
+    crowded = seen.groupBy(*tile).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = asks.join(crowded, tile, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    right = seen.join(crowded, tile, "left").withColumn("block", F.pmod(F.xxhash64("x2", "y2"), blocks).cast("int")).drop("blocks")
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    dist = F.sqrt(dx * dx + dy * dy)
+    pairs = left.join(right, [*tile, "block"]).select("b", "x", "y", dist.alias("dist"), F.explode("keys").alias("dst"))
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("b", "x", "y").orderBy("dist", "dst"))).where(F.col("r") <= k + 1)
+    return best.groupBy("b", "x", "y").agg(F.sort_array(F.collect_list(F.struct("dist", "dst"))).alias("near"))
 
 
 def vector_neighbours(points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", batch: Column | None = None, block: int = 4096) -> DataFrame:

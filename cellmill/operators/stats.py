@@ -65,26 +65,34 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str], key: str, out: str
     return done.drop("__part", "__row", "__before", "__m", "__q", "__later")
 
 
-def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "value", group: str = "grp") -> DataFrame:
+def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "value", group: str = "grp", parts: int = 64) -> DataFrame:
     """Wilcoxon rank sums of each group against the rest, a row a gene and group:
     n_in, n_out, rank_sum, z (no correction for ties), log_fold_change, pct_in
     and pct_out (STA12).
 
     ``x`` holds log-normalised values without zeros, ``groups`` a row a cell.
     The n0 zeros of a gene share the rank (n0 + 1) / 2 and lift all others by
-    n0, so ranks are made of the stored values alone.
+    n0, so ranks are made of the stored values alone.  Equal values of a gene and
+    group are counted once, and a gene's values are ranked in up to ``parts``
+    ranges, each by a task of its own; a range's place is known from the sizes of
+    the others.  Rows without a gene take no part.
     """
     sizes = groups.groupBy(group).agg(F.count("*").alias("n_in"))
     total = groups.count()
-    some = x.where(F.col(value) > 0).join(groups, cell)
-    order, ties = Window.partitionBy(gene).orderBy(value), Window.partitionBy(gene, value)
-    ranked = some.withColumn("__rank", average_rank(order, ties)).withColumn("__nnz", F.count(F.lit(1)).over(Window.partitionBy(gene)))
-    lifted = ranked.withColumn("__rank", F.col("__rank") + (F.lit(total) - F.col("__nnz")))
-    linear = F.expm1(value)
-    per = lifted.groupBy(gene, group).agg(F.sum("__rank").alias("__sum"), F.count("*").alias("__k"), F.sum(linear).alias("__lin"), F.first("__nnz").alias("__nnz"))
+    tied = stored(x.where((F.col(value) > 0) & F.col(gene).isNotNull()).join(groups, cell).groupBy(gene, value, group).agg(F.count("*").alias("__k")), "tied")
+    edges = tied.groupBy(gene).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__e"))
+    placed = tied.join(edges, gene).withColumn("__part", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    upto = F.sum("__k").over(Window.partitionBy(gene, "__part").orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    ties = F.sum("__k").over(Window.partitionBy(gene, "__part", value))
+    ranked = placed.withColumn("__rank", F.col("__k") * (upto - (ties - 1) / 2.0))  # within the range
+    ranges = ranked.groupBy(gene, "__part", group).agg(F.sum("__rank").alias("__sum"), F.sum("__k").alias("__k"), F.sum(F.col("__k") * F.expm1(value)).alias("__lin"))
+    # what lies in lower ranges, the zeros too, lifts a range's ranks
+    held = ranges.groupBy(gene, "__part").agg(F.sum("__k").alias("__c")).groupBy(gene).agg(F.collect_list(F.struct("__part", "__c")).alias("__held"), F.sum("__c").alias("__nnz"))
+    lower = F.aggregate(F.filter("__held", lambda h: h["__part"] < F.col("__part")), F.lit(total) - F.col("__nnz"), lambda n, h: n + h["__c"])
+    per = ranges.join(held, gene).groupBy(gene, group).agg(F.sum(F.col("__sum") + F.col("__k") * lower).alias("__sum"), F.sum("__k").alias("__k"), F.sum("__lin").alias("__lin"))
     whole = per.groupBy(gene).agg(F.sum("__k").alias("__kall"), F.sum("__lin").alias("__linall"))
     pairs = whole.withColumn(group, F.explode(F.array(*(F.lit(r[group]) for r in sizes.select(group).collect())))).join(sizes, group)
-    out = pairs.join(per.drop("__nnz"), [gene, group], "left").na.fill(0, ["__sum", "__k", "__lin"])
+    out = pairs.join(per, [gene, group], "left").na.fill(0, ["__sum", "__k", "__lin"])
     zeros = F.lit(total) - F.col("__kall")
     in_zeros = F.col("n_in") - F.col("__k")
     n_out = F.lit(total) - F.col("n_in")
