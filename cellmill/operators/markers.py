@@ -93,8 +93,9 @@ def contingency(a: Column, b: Column) -> list[Column]:
 
 def best_labels(scores: DataFrame, cells: DataFrame) -> DataFrame:
     """cell, label, score: the compartment of the highest score, of equal ones
-    the first by name (ARR2)."""
-    best = scores.groupBy("cell").agg(F.max_by(F.struct("compartment", "score"), F.struct("score", F.negative(F.ascii("compartment")))).alias("b"))
+    the first by name; scores count as equal up to nine decimals, as sums differ
+    by their order (ARR2)."""
+    best = scores.groupBy("cell").agg(F.min_by(F.struct("compartment", "score"), F.struct(F.negative(F.round("score", 9)), "compartment")).alias("b"))
     return cells.select("cell").join(best, "cell", "left").select("cell", F.col("b.compartment").alias("label"), F.col("b.score").alias("score"))
 
 

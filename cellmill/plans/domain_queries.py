@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import embedding, health, markers, matrix, signatures, spatial, stats, variants
 from . import tables as t
-from .registry import CELLS, CODES, COUNTS, READS, SIGNATURES, X, query, r6
+from .registry import CELLS, CODES, COUNTS, READS, SIGNATURES, X, best_sql, query, r6, scores_sql
 
 # variants and molecules
 
@@ -367,7 +367,12 @@ def module_score(spark: SparkSession, sf: str) -> DataFrame:
     return module(spark, sf).select("cell", "compartment", r6("score").alias("score"))
 
 
-@query()
+# The panel of ``module_panel``, whole and without gene 25.
+MODULE_PANELS = "mp AS (SELECT 'c' || CAST((p_partkey // 25) % 3 AS VARCHAR) AS compartment, p_partkey AS gene FROM part WHERE p_partkey % 25 = 0), mp2 AS (SELECT * FROM mp WHERE gene <> 25)"
+
+
+@query(f"""WITH {NORM}, {MODULE_PANELS}, {scores_sql('a', 'mp', 5, 10)}, {best_sql('a')}, {scores_sql('b', 'mp2', 5, 10)}, {best_sql('b')}
+    SELECT a_best.label AS from_label, b_best.label AS to_label, count(*) AS n FROM orders LEFT JOIN a_best ON a_best.cell = o_orderkey LEFT JOIN b_best ON b_best.cell = o_orderkey GROUP BY 1, 2""")
 def flip_test(spark: SparkSession, sf: str) -> DataFrame:
     own, cells = module_panel(spark, sf), t.cells(spark, sf)
     before = markers.best_labels(module(spark, sf), cells)

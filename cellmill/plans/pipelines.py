@@ -76,7 +76,7 @@ def marker_bakeoff(x: DataFrame, panel: DataFrame, obs: DataFrame, n_cells: int,
     """
     kept = markers.prune_reasons(panel, manual=manual).where("reason = ''")
     scores = markers.module_scores(matrix.log_normalised(x), kept.select("compartment", "gene"), n_cells)
-    w = F.struct(F.col("score").alias("s"), F.col("compartment").alias("c"))
+    w = F.struct(F.round("score", 9).alias("s"), F.col("compartment").alias("c"))  # not by the order of a sum
     two = scores.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(w), asc=False), 1, 2).alias("b"))  # a row a compartment
     best = two.select("cell", F.col("b")[0]["c"].alias("marker"), F.col("b")[0]["s"].alias("top"), (F.col("b")[0]["s"] - F.coalesce(F.try_element_at("b", F.lit(2))["s"], F.lit(0.0))).alias("margin"))
     own = obs.join(best, "cell", "left").withColumn("marker", consensus.gated(F.col("marker"), F.col("top"), F.col("margin")))
@@ -90,11 +90,19 @@ def mask_diagnostic(x: DataFrame, cells: DataFrame, mask: str, panel: DataFrame,
     """detection: rates in and out of a mask; flips: labels that change without
     one gene; enrichment: the mask among neighbours (PIP6).  ``cells``: batch,
     cell, x, y and the mask."""
-    norm, genes = matrix.log_normalised(x), panel.select("compartment", "gene")
-    before = markers.best_labels(markers.module_scores(norm, genes, n_cells), cells)
-    after = markers.best_labels(markers.module_scores(norm, genes.where(F.col("gene") != left_out), n_cells), cells)
     edges = spatial.plane_neighbours(cells, 15, batch="batch")
-    return {"detection": markers.detection_fold(x, cells, mask, genes.select("gene").distinct()), "flips": markers.flips(before, after), "enrichment": spatial.enrichment(edges, cells, mask)}
+    return {
+        "detection": markers.detection_fold(x, cells, mask, panel.select("gene").distinct()),
+        "flips": label_flips(matrix.log_normalised(x), cells, panel, n_cells, left_out),
+        "enrichment": spatial.enrichment(edges, cells, mask),
+    }
+
+
+def label_flips(norm: DataFrame, cells: DataFrame, panel: DataFrame, n_cells: int, left_out: str | int) -> DataFrame:
+    """How many cells go from which best label to which without one gene of the panel (PIP6)."""
+    genes = panel.select("compartment", "gene")
+    before, after = (markers.best_labels(markers.module_scores(norm, some, n_cells), cells) for some in (genes, genes.where(F.col("gene") != left_out)))
+    return markers.flips(before, after)
 
 
 def virus_matrix(reads: DataFrame, calls: DataFrame) -> DataFrame:
@@ -191,10 +199,10 @@ def depth_dependence(vectors: DataFrame, depth: str, x: str, y: str, by: str) ->
     return one.join(other, by).select(by, F.greatest(F.abs("__x"), F.abs("__y")).alias("dependence"))
 
 
-def normalisations_compared(x: DataFrame, n_cells: int, top: int = 2000) -> dict[str, DataFrame]:
+def normalisations_compared(x: DataFrame, n_cells: int, top: int = 2000, max_mean: float = 3.0) -> dict[str, DataFrame]:
     """The genes that each way of choosing takes, and their overlap (PIP15)."""
     by_residuals = embedding.variable_genes(x, top).select("gene")
-    by_dispersion = embedding.dispersion_genes(matrix.log_normalised(x), n_cells).where("variable").orderBy(F.desc("dispersion_norm"), "gene").limit(top).select("gene")
+    by_dispersion = embedding.dispersion_genes(matrix.log_normalised(x), n_cells, max_mean=max_mean).where("variable").orderBy(F.desc("dispersion_norm"), "gene").limit(top).select("gene")
     return {"residuals": by_residuals, "dispersion": by_dispersion, "overlap": relational.set_sizes(by_residuals, by_dispersion, "gene")}
 
 

@@ -38,3 +38,20 @@ def query(sql: str | None = None):
 
 def r6(c: str | Column) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def scores_sql(name: str, panel: str, bins: int = 25, control: int = 50) -> str:
+    """Tables that end in <name>_ms (cell, compartment, score), module scores of
+    the table ``panel`` over norm and nc."""
+    at = [k / bins for k in range(1, bins)]
+    return f"""{name}_mean AS (SELECT gene, sum(v) / max(n) AS mean FROM norm, nc GROUP BY gene), {name}_ed AS (SELECT quantile_cont(mean, {at}) AS e FROM {name}_mean),
+    {name}_bins AS (SELECT gene, 1 + len(list_filter(e, lambda q: q < mean)) AS bin FROM {name}_mean, {name}_ed),
+    {name}_own AS (SELECT p.*, bin FROM {panel} p JOIN {name}_bins USING (gene)),
+    {name}_cand AS (SELECT DISTINCT o.compartment, o.bin, b.gene FROM {name}_own o JOIN {name}_bins b ON b.bin = o.bin WHERE (o.compartment, b.gene) NOT IN (SELECT (compartment, gene) FROM {panel})),
+    {name}_pick AS (SELECT compartment, gene FROM (SELECT *, row_number() OVER (PARTITION BY compartment, bin ORDER BY md5('0:' || compartment || ':' || CAST(gene AS VARCHAR)), gene) AS r FROM {name}_cand) WHERE r <= {control}),
+    {name}_wt AS (SELECT compartment, gene, 1.0 / count(*) OVER (PARTITION BY compartment) AS w FROM {name}_own UNION ALL SELECT compartment, gene, -1.0 / count(*) OVER (PARTITION BY compartment) FROM {name}_pick),
+    {name}_ms AS (SELECT cell, compartment, sum(v * w) AS score FROM norm JOIN {name}_wt USING (gene) GROUP BY 1, 2)"""
+
+
+def best_sql(name: str) -> str:
+    return f"{name}_best AS (SELECT cell, compartment AS label FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(score, 9) DESC, compartment) AS r FROM {name}_ms) WHERE r = 1)"
