@@ -151,16 +151,24 @@ def enrichment(edges: DataFrame, cells: DataFrame, mask: str, permutations: int
 
     ``cells`` has batch, cell and the mask.  A permutation masks the cells of
     the smallest seeded hash, as many as the mask has, so it is the same
-    wherever it is computed.  Batches with fewer than ``least`` masked cells
+    wherever it is computed; no permutation is sorted.  Batches with fewer than ``least`` masked cells
     are left out.
     """
     cells = cells.select("batch", "cell", F.coalesce(F.col(mask), F.lit(False)).alias("m"))
     sizes = cells.groupBy("batch").agg(F.count("*").alias("n"), F.count_if("m").alias("nm")).where(F.col("nm") >= least)
     rounds = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm")
-    named = cells.join(sizes, "batch").select("*", rounds)
-    w = Window.partitionBy("batch", "perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("cell").cast("string"))), "cell")
-    shuffled = named.withColumn("p", F.when(F.col("perm") == 0, F.col("m")).otherwise(F.row_number().over(w) <= F.col("nm"))).select("batch", "cell", "perm", "p")
-    masked = shuffled.where("p")
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("cell").cast("string")))
+    named = cells.join(sizes, "batch").select("*", rounds).withColumn("h", hashed).withColumn("bin", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    # the bin of the last masked hash is found by counting, and only its cells are put in order
+    bins = named.where("perm > 0").groupBy("batch", "perm", "nm", "bin").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("batch", "perm").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # 4,096 rows at most
+    last = bins.withColumn("upto", upto).where((F.col("upto") >= F.col("nm")) & (F.col("upto") - F.col("c") < F.col("nm"))).select("batch", "perm", F.col("bin").alias("edge"), (F.col("nm") - F.col("upto") + F.col("c")).alias("more"))
+    placed = named.where("perm > 0").join(stored(last, "edges"), ["batch", "perm"])
+    w = Window.partitionBy("batch", "perm").orderBy("h", "cell")
+    within_edge = placed.where("bin = edge").withColumn("r", F.row_number().over(w)).where("r <= more")
+    cols = ["batch", "cell", "perm", F.lit(True).alias("p")]
+    shuffled = named.where("perm = 0 AND m").select(cols).unionByName(placed.where("bin < edge").select(cols)).unionByName(within_edge.select(cols))
+    masked = stored(shuffled, "masked")
     ends = edges.select("batch", "src", "dst")
     from_ = ends.join(masked.select("batch", F.col("cell").alias("src"), "perm"), ["batch", "src"])
     hit = from_.join(masked.select("batch", F.col("cell").alias("dst"), "perm", "p"), ["batch", "dst", "perm"], "left")

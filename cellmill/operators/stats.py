@@ -49,20 +49,28 @@ def cumulative_distribution(df: DataFrame, value: str, by: list[str], out: str =
     return ranked.withColumn("__r", F.col("__before") + last).join(total, by).withColumn(out, F.col("__r") / F.col("__m")).drop("__part", "__row", "__before", "__r", "__m")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, by: list[str], key: str, out: str = "p_adj") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, by: list[str], key: str, out: str = "p_adj", parts: int = 64) -> DataFrame:
     """Adjusted p-values within groups: p * m / rank, the running minimum from
-    the largest down, 1 at most (STA13).  Groups are ordered range by range; the
-    minimum of the ranges after a row's own is looked up.  The tests are stored
-    first, as several steps read them."""
-    df = stored(df, "tests")
-    total = df.groupBy(*by).agg(F.count("*").alias("__m"))
-    ranked = stored(running(df, by, [p, key]).join(total, by).withColumn("__q", F.col(p) * F.col("__m") / (F.col("__before") + F.col("__row"))), "ranked")
-    least = ranked.groupBy(*by, "__part").agg(F.min("__q").alias("__least"))
-    after = Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)  # a row a range
-    later = least.select(*by, "__part", F.min("__least").over(after).alias("__later"))
-    own = F.min("__q").over(Window.partitionBy(*by, "__part").orderBy(F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0))
-    done = ranked.join(later, [*by, "__part"]).withColumn(out, F.least(F.lit(1.0), own, F.col("__later")))
-    return done.drop("__part", "__row", "__before", "__m", "__q", "__later")
+    the largest down, 1 at most (STA13).  A null p stays null and isn't counted.
+
+    Equal p-values get one adjusted value, that of their last rank, whatever the
+    ``key``; so each is counted once, however many tests share it, and a group's
+    distinct values are ordered range by range.  Sizes and minima of the other
+    ranges are a list of ``parts`` entries a group.
+    """
+    tests = stored(df, "tests")
+    values = tests.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__k"))
+    edges = values.groupBy(*by).agg(F.percentile_approx(p, [k / parts for k in range(1, parts)], 1000).alias("__e"))
+    placed = values.join(edges, by).withColumn("__part", F.size(F.filter("__e", lambda e: e < F.col(p)))).drop("__e")
+    beside = lambda rows, what: rows.groupBy(*by, "__part").agg(what.alias("__v")).groupBy(*by).agg(F.collect_list(F.struct("__part", "__v")).alias("__held"))
+    sizes = beside(placed, F.sum("__k")).withColumn("__m", F.aggregate("__held", F.lit(0).cast("long"), lambda n, h: n + h["__v"]))
+    lower = F.aggregate(F.filter("__held", lambda h: h["__part"] < F.col("__part")), F.lit(0).cast("long"), lambda n, h: n + h["__v"])
+    own = F.sum("__k").over(Window.partitionBy(*by, "__part").orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = stored(placed.withColumn("__upto", own).join(sizes, by).select(*by, p, "__part", (F.col(p) * F.col("__m") / (F.col("__upto") + lower)).alias("__q")), "ranked")
+    later = F.array_min(F.transform(F.filter("__held", lambda h: h["__part"] > F.col("__part")), lambda h: h["__v"]))
+    least = F.min("__q").over(Window.partitionBy(*by, "__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    done = ranked.withColumn("__least", least).join(beside(ranked, F.min("__q")), by).select(*by, p, F.least(F.lit(1.0), "__least", later).alias(out))
+    return tests.join(done, [*by, p], "left")
 
 
 def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "value", group: str = "grp", parts: int = 64) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import embedding, health, markers, matrix, signatures, spatial, stats, variants
 from . import tables as t
-from .registry import CELLS, CODES, COUNTS, READS, SIGNATURES, X, best_sql, query, r6, scores_sql
+from .registry import CELLS, CODES, COUNTS, P_SQL, READS, SIGNATURES, X, best_sql, query, r6, scores_sql
 
 # variants and molecules
 
@@ -286,7 +286,9 @@ def tested(spark: SparkSession, sf: str) -> DataFrame:
     return stats.rank_sums(x, groups)
 
 
-@query()
+@query(f"""WITH {WILCOXON}, u AS (SELECT gene, grp, abs(rank_sum - n_in * (n + 1) / 2.0) / sqrt(n_in * n_out * (n + 1) / 12.0) / sqrt(2.0) AS u FROM o), tp AS (SELECT gene, grp, {P_SQL} AS p FROM u),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, gene) AS r, count(*) OVER (PARTITION BY grp) AS m FROM tp)
+    SELECT gene, grp, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (PARTITION BY grp ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adj FROM ra""")
 def wilcoxon_markers(spark: SparkSession, sf: str) -> DataFrame:
     """Every gene, so that p-values are adjusted for all tests of a group."""
     p = tested(spark, sf).withColumn("p", F.coalesce(stats.two_sided_p(F.col("z")), F.lit(1.0)))

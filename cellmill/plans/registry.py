@@ -55,3 +55,9 @@ def scores_sql(name: str, panel: str, bins: int = 25, control: int = 50) -> str:
 
 def best_sql(name: str) -> str:
     return f"{name}_best AS (SELECT cell, compartment AS label FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(score, 9) DESC, compartment) AS r FROM {name}_ms) WHERE r = 1)"
+
+
+#: The two-sided p of a score whose absolute value over sqrt(2) is u: a series of
+#: the error function, beyond 2.5 a continued fraction.
+P_SQL = """CASE WHEN u < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-u * u) * list_sum(list_transform(range(0, 61), lambda i: pow(u, 2 * i + 1) * pow(4.0, i) * gamma(i + 1) / gamma(2 * i + 2)))
+           ELSE exp(-u * u) / sqrt(pi()) / list_reduce(list_concat([u], list_transform(range(60, 0, -1), lambda i: CAST(i AS DOUBLE))), lambda a, i: u + (i / 2.0) / a) END"""

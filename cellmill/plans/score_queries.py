@@ -10,7 +10,7 @@ from ..operators import relational, signatures
 from . import pipelines
 from . import tables as t
 from .domain_queries import MODULE_PANELS, NORM, PEARSON, module_panel, n_cells, norm
-from .registry import COUNTS, X, best_sql, query, r6, scores_sql
+from .registry import COUNTS, P_SQL, X, best_sql, query, r6, scores_sql
 
 
 @query(f"""WITH {NORM}, {MODULE_PANELS}, {scores_sql('a', 'mp')}, {best_sql('a')}, {scores_sql('b', 'mp2')}, {best_sql('b')}
@@ -57,8 +57,7 @@ def pip_marker_bakeoff(spark: SparkSession, sf: str) -> DataFrame:
     te AS (SELECT al.gene, sz.grp, (coalesce(s, 0) + (n_in - coalesce(k, 0)) * (n - kall + 1) / 2.0 - n_in * (n + 1) / 2.0) / sqrt(n_in * (n - n_in) * (n + 1) / 12.0) AS z,
            log2((coalesce(lin, 0) / n_in + 1e-9) / ((linall - coalesce(lin, 0)) / (n - n_in) + 1e-9)) AS fold FROM al CROSS JOIN sz LEFT JOIN pr ON pr.gene = al.gene AND pr.grp = sz.grp, nn),
     ax AS (SELECT *, abs(z) / sqrt(2.0) AS u FROM te),
-    tp AS (SELECT *, CASE WHEN u < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-u * u) * list_sum(list_transform(range(0, 61), lambda i: pow(u, 2 * i + 1) * pow(4.0, i) * gamma(i + 1) / gamma(2 * i + 2)))
-           ELSE exp(-u * u) / sqrt(pi()) / list_reduce(list_concat([u], list_transform(range(60, 0, -1), lambda i: CAST(i AS DOUBLE))), lambda a, i: u + (i / 2.0) / a) END AS p FROM ax),
+    tp AS (SELECT *, {P_SQL} AS p FROM ax),
     ra AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, gene) AS r, count(*) OVER (PARTITION BY grp) AS m FROM tp),
     ad AS (SELECT *, min(p * m / r) OVER (PARTITION BY grp ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS p_adj FROM ra),
     re AS (SELECT grp AS compartment, gene FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gene) AS k FROM ad WHERE p_adj < 0.05 AND fold > 0) WHERE k <= 50),
