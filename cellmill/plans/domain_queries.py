@@ -159,9 +159,13 @@ def pearson_residual_variance(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.residual_variance(t.matrix(spark, sf)).withColumns({c: r6(c) for c in ("residual_mean", "residual_variance")})
 
 
-@query()
+@query(f"""WITH {PEARSON}, h AS (SELECT d, count(*) AS m FROM d GROUP BY 1),
+    zero AS (SELECT gene, sum(m * greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100))) AS s, sum(m * power(greatest(-clip, -(d * g / t) / sqrt(d * g / t + (d * g / t) * (d * g / t) / 100)), 2)) AS ss FROM g, h, tot GROUP BY 1),
+    more AS (SELECT gene, sum(z - z0) AS s, sum(z * z - z0 * z0) AS ss FROM zf GROUP BY 1),
+    r AS (SELECT zero.gene, (zero.s + coalesce(more.s, 0)) / n AS residual_mean, (zero.ss + coalesce(more.ss, 0)) / n - power((zero.s + coalesce(more.s, 0)) / n, 2) AS residual_variance FROM zero LEFT JOIN more USING (gene), tot)
+    SELECT gene, round(residual_mean, 6) AS residual_mean, round(residual_variance, 6) AS residual_variance FROM r ORDER BY r.residual_variance DESC, gene LIMIT 100""")
 def pearson_residual_hvg(spark: SparkSession, sf: str) -> DataFrame:
-    return embedding.variable_genes(t.matrix(spark, sf), top=100)
+    return embedding.variable_genes(t.matrix(spark, sf), top=100).withColumns({c: r6(c) for c in ("residual_mean", "residual_variance")})
 
 
 @query(f"""WITH x AS (SELECT l_orderkey AS cell, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2), d AS (SELECT cell, sum(value) AS d FROM x GROUP BY 1), g AS (SELECT gene, sum(value) AS g FROM x GROUP BY 1), tot AS (SELECT sum(value) AS t, sqrt(count(DISTINCT cell)) AS clip FROM x)

@@ -49,7 +49,8 @@ def pip_marker_bakeoff(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("cell", "cluster", "marker", r6("margin").alias("margin"), "cluster_marker", r6("confidence").alias("confidence"), "unified")
 
 
-@query(f"""WITH {NORM}, cw AS (FROM (VALUES ('F', 'closed'), ('O', 'open'), ('P', 'pending')) v(src, dst)),
+@query(f"""WITH x AS (SELECT l_orderkey AS cell, l_partkey % 50 AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2), li AS (SELECT p_partkey % 50 AS k, sum(p_size) AS s FROM part GROUP BY 1),
+    norm AS (SELECT cell, gene, ln(1 + value * 1e4 / sum(value) OVER (PARTITION BY cell)) AS v FROM x), cw AS (FROM (VALUES ('F', 'closed'), ('O', 'open'), ('P', 'pending')) v(src, dst)),
     grp AS (SELECT cell, dst AS grp FROM (SELECT cell, ['F', 'O', 'P'][gene % 3 + 1] AS src, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) AS r FROM x) JOIN cw USING (src) WHERE r = 1),
     sz AS (SELECT grp, count(*) AS n_in FROM grp GROUP BY 1), nn AS (SELECT count(*) AS n FROM grp),
     rk AS (SELECT v.gene, v.cell, v.v, rank() OVER (PARTITION BY v.gene ORDER BY v.v) + (count(*) OVER (PARTITION BY v.gene, v.v) - 1) / 2.0 + n - count(*) OVER (PARTITION BY v.gene) AS r FROM norm v, nn WHERE v.v > 0),
@@ -61,19 +62,21 @@ def pip_marker_bakeoff(spark: SparkSession, sf: str) -> DataFrame:
     ra AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, gene) AS r, count(*) OVER (PARTITION BY grp) AS m FROM tp),
     ad AS (SELECT *, min(p * m / r) OVER (PARTITION BY grp ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS p_adj FROM ra),
     re AS (SELECT grp AS compartment, gene FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gene) AS k FROM ad WHERE p_adj < 0.05 AND fold > 0) WHERE k <= 50),
-    db AS (SELECT dst AS compartment, p_partkey AS gene FROM part JOIN cw ON src = CASE WHEN p_size % 4 = 0 THEN 'X' ELSE ['F', 'O', 'P'][p_partkey % 3 + 1] END WHERE p_size % 3 <> 2),
-    cu AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'closed' ELSE 'open' END AS compartment, p_partkey AS gene FROM part WHERE p_size < 4),
+    db AS (SELECT dst AS compartment, k AS gene FROM li JOIN cw ON src = CASE WHEN s % 4 = 0 THEN 'X' ELSE ['F', 'O', 'P'][k % 3 + 1] END WHERE s % 3 <> 2),
+    cu AS (SELECT CASE k % 2 WHEN 0 THEN 'closed' ELSE 'open' END AS compartment, k AS gene FROM li WHERE s % 10 = 0),
     un AS (FROM re UNION FROM db UNION FROM cu),
     fl AS (SELECT *, (compartment, gene) IN (SELECT (compartment, gene) FROM cu) AS in_curated, (compartment, gene) IN (SELECT (compartment, gene) FROM re) AS in_ref, (compartment, gene) IN (SELECT (compartment, gene) FROM db) AS in_db FROM un)
     SELECT * FROM fl WHERE (in_curated OR (in_ref AND in_db)) AND gene IN (SELECT gene FROM x)""")
 def pip_panel_built(spark: SparkSession, sf: str) -> DataFrame:
-    """A cell's group comes from its highest gene, so that there are markers."""
-    x, p = t.matrix(spark, sf), t.table(spark, sf, "part")
+    """Genes are fifty classes of parts, and a cell's group comes from its highest
+    gene, so that there are markers; the database lists the classes."""
+    x = t.matrix(spark, sf).groupBy("cell", (F.col("gene") % 50).alias("gene")).agg(F.sum("value").alias("value"))
+    listed = t.table(spark, sf, "part").groupBy((F.col("p_partkey") % 50).alias("gene")).agg(F.sum("p_size").alias("s"))
     kind = lambda c: F.element_at(F.array(*map(F.lit, "FOP")), (c % 3 + 1).cast("int"))
     groups = x.groupBy("cell").agg(kind(F.max_by("gene", F.struct("value", F.negative("gene")))).alias("grp"))
-    species = F.when(F.col("p_size") % 3 == 0, "Hs").when(F.col("p_size") % 3 == 1, "Mm Hs")
-    database = p.select(species.alias("species"), F.col("p_partkey").alias("gene"), F.when(F.col("p_size") % 4 == 0, "X").otherwise(kind(F.col("p_partkey"))).alias("cell_type"))
-    curated = p.where("p_size < 4").select(F.when(F.col("p_partkey") % 2 == 0, "closed").otherwise("open").alias("compartment"), F.col("p_partkey").alias("gene"))
+    species = F.when(F.col("s") % 3 == 0, "Hs").when(F.col("s") % 3 == 1, "Mm Hs")
+    database = listed.select(species.alias("species"), "gene", F.when(F.col("s") % 4 == 0, "X").otherwise(kind(F.col("gene"))).alias("cell_type"))
+    curated = listed.where("s % 10 = 0").select(F.when(F.col("gene") % 2 == 0, "closed").otherwise("open").alias("compartment"), "gene")
     return pipelines.panel_built(x, groups, curated, database, relational.vocabulary(spark, {"F": "closed", "O": "open", "P": "pending"}))
 
 
