@@ -17,11 +17,13 @@ def two_sided_p(z: Column) -> Column:
     series for small ones, in expressions of Spark alone (relative error under
     1e-12)."""
     x = F.abs(z) / math.sqrt(2)
-    # series: erf(x) = 2/sqrt(pi) * exp(-x*x) * sum over n of 2^n x^(2n+1) / (1*3*...*(2n+1))
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda a, n: F.struct((a["t"] * 2 * x * x / (2 * n + 1)).alias("t"), (a["s"] + a["t"] * 2 * x * x / (2 * n + 1)).alias("s")))["s"]
+    # series: erf(x) = 2/sqrt(pi) * exp(-x*x) * x * (1 + y/3 * (1 + y/5 * (1 + ...))), y = 2*x*x
     # fraction: erfc(x) = exp(-x*x)/sqrt(pi) / (x + (1/2)/(x + 1/(x + (3/2)/(x + ...))))
-    large = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda a, n: x + (n / 2.0) / a)
-    return F.when(x < 2.5, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * small).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / large)
+    small, large = F.lit(1.0), x
+    for n in range(60, 0, -1):
+        small = 1.0 + 2.0 * x * x / float(2 * n + 1) * small
+        large = x + (n / 2.0) / large
+    return F.when(x < 2.5, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * x * small).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / large)
 
 
 def running(df: DataFrame, by: list[str], order: list[str], parts: int = 64) -> DataFrame:
@@ -73,7 +75,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str], key: str, out: str
     return tests.join(done, [*by, p], "left")
 
 
-def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "value", group: str = "grp", parts: int = 64) -> DataFrame:
+def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "cell", value: str = "value", group: str = "grp", parts: int = 64, one_range: int = 10_000) -> DataFrame:
     """Wilcoxon rank sums of each group against the rest, a row a gene and group:
     n_in, n_out, rank_sum, z (no correction for ties), log_fold_change, pct_in
     and pct_out (STA12).
@@ -81,15 +83,17 @@ def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "
     ``x`` holds log-normalised values without zeros, ``groups`` a row a cell.
     The n0 zeros of a gene share the rank (n0 + 1) / 2 and lift all others by
     n0, so ranks are made of the stored values alone.  Equal values of a gene and
-    group are counted once, and a gene's values are ranked in up to ``parts``
-    ranges, each by a task of its own; a range's place is known from the sizes of
-    the others.  Rows without a gene take no part.
+    group are counted once, and a gene of more than ``one_range`` of them is ranked
+    in ``parts`` ranges, each by a task of its own; a range's place is known from
+    the sizes of the others.  Rows without a gene take no part.
     """
-    sizes = groups.groupBy(group).agg(F.count("*").alias("n_in"))
-    total = groups.count()
+    sizes = groups.groupBy(group).agg(F.count("*").alias("n_in")).collect()  # names of groups
+    total = sum(r["n_in"] for r in sizes)
     tied = stored(x.where((F.col(value) > 0) & F.col(gene).isNotNull()).join(groups, cell).groupBy(gene, value, group).agg(F.count("*").alias("__k")), "tied")
-    edges = tied.groupBy(gene).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__e"))
-    placed = tied.join(edges, gene).withColumn("__part", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    large = tied.groupBy(gene).agg(F.count("*").alias("__c")).where(F.col("__c") > one_range).select(gene)
+    edges = tied.join(large, gene, "left_semi").groupBy(gene).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__e"))
+    range_ = F.when(F.col("__e").isNull(), 0).otherwise(F.size(F.filter("__e", lambda e: e < F.col(value))))
+    placed = tied.join(edges, gene, "left").withColumn("__part", range_).drop("__e")
     upto = F.sum("__k").over(Window.partitionBy(gene, "__part").orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
     ties = F.sum("__k").over(Window.partitionBy(gene, "__part", value))
     ranked = placed.withColumn("__rank", F.col("__k") * (upto - (ties - 1) / 2.0))  # within the range
@@ -99,7 +103,9 @@ def rank_sums(x: DataFrame, groups: DataFrame, gene: str = "gene", cell: str = "
     lower = F.aggregate(F.filter("__held", lambda h: h["__part"] < F.col("__part")), F.lit(total) - F.col("__nnz"), lambda n, h: n + h["__c"])
     per = ranges.join(held, gene).groupBy(gene, group).agg(F.sum(F.col("__sum") + F.col("__k") * lower).alias("__sum"), F.sum("__k").alias("__k"), F.sum("__lin").alias("__lin"))
     whole = per.groupBy(gene).agg(F.sum("__k").alias("__kall"), F.sum("__lin").alias("__linall"))
-    pairs = whole.withColumn(group, F.explode(F.array(*(F.lit(r[group]) for r in sizes.select(group).collect())))).join(sizes, group)
+    each = F.array(*(F.struct(F.lit(r[group]).alias("g"), F.lit(r["n_in"]).alias("n")) for r in sizes if r[group] is not None))
+    kind = groups.schema[group].dataType.simpleString()
+    pairs = whole.withColumn("__g", F.explode(each.cast(f"array<struct<g:{kind},n:bigint>>"))).withColumns({group: F.col("__g.g"), "n_in": F.col("__g.n")}).drop("__g")
     out = pairs.join(per, [gene, group], "left").na.fill(0, ["__sum", "__k", "__lin"])
     zeros = F.lit(total) - F.col("__kall")
     in_zeros = F.col("n_in") - F.col("__k")
