@@ -39,8 +39,6 @@ SHARD_ROWS = 1 << 17
 #: Rows of the model that a Python worker keeps in memory; files beyond them are
 #: read again for each run of texts.
 KEPT_ROWS = 4_000_000
-#: Labelled rows of the sample that rejection is calibrated on, about.
-CALIBRATION_ROWS = 4_000
 UNKNOWN = "und"
 SCORE = "lang string, score double, entropy double, rejected boolean"
 
@@ -240,12 +238,11 @@ def kneser_ney_tables(counts: DataFrame, langs: list[str]) -> DataFrame:
     return shares.unionByName(left)
 
 
-def fitted(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", calibrated: bool = True) -> Models:
+def fitted(rows: DataFrame, text_col: str = "text", label_col: str = "lang", calibrated: bool = True) -> Models:
     """The models of the labels of ``rows``.
 
     All rows are counted and every n-gram is kept, in files of the shared
-    folder.  Calibration scores a sample of about CALIBRATION_ROWS labelled
-    rows, chosen by the hash of ``id_col``.
+    folder.  Calibration scores all labelled rows.
     """
     counts = written(counted(rows, text_col, label_col), "ngrams")
     sizes = {r["lang"]: r["c"] for r in counts.groupBy("lang").agg(F.count("*").alias("c")).collect()}
@@ -259,9 +256,7 @@ def fitted(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_
     for r in table.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "kind").agg(F.min("key").alias("a"), F.max("key").alias("b")).collect():
         models.files[r["kind"]].append((f"{path}/{r['file']}", r["a"], r["b"]))
     if calibrated:
-        every = max(1, rows.where(F.col(label_col).isNotNull()).count() // CALIBRATION_ROWS)
-        sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0).where(F.col(label_col).isNotNull())
-        scored = identified(sample.select(F.col(text_col).alias("t"), F.col(label_col).alias("l")), models, "t", "s")
+        scored = identified(rows.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).alias("l")), models, "t", "s")
         for row in scored.where("s.lang = l").groupBy("l").agg(F.avg("s.entropy").alias("m"), F.stddev("s.entropy").alias("d")).collect():
             at = langs.index(row["l"])
             models.usual[at], models.spread[at] = row["m"], row["d"] if row["d"] is not None else float("inf")
