@@ -95,10 +95,27 @@ def exposures(counts: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def reconstruction(counts: DataFrame, signatures: DataFrame, weights: DataFrame) -> DataFrame:
-    """cell, context, n, fitted over all contexts of the signatures (STA19)."""
-    fitted = weights.where("w <> 0").join(signatures, "signature").groupBy("cell", "context").agg(F.sum(F.col("w") * F.col("h")).alias("fitted"))
-    both = counts.select("cell", "context", F.col("n").cast("double").alias("n"), F.lit(0.0).alias("fitted")).unionByName(fitted.select("cell", "context", F.lit(0.0).alias("n"), "fitted"))
-    return both.groupBy("cell", "context").agg(F.sum("n").alias("n"), F.sum("fitted").alias("fitted"))
+    """cell, context, n, fitted over all contexts of the signatures (STA19).
+
+    A cell's counts and weights meet first, and its contexts are laid out there: tasks
+    are as many as the counts need, not as few as the small table of weights.
+    """
+    entry = "struct<context:{},n:double,fitted:double>".format(dict(counts.dtypes)["context"])
+    weight = "struct<signature:string,w:double>"
+    per_context = signatures.groupBy("context").agg(F.collect_list(F.struct("signature", "h")).alias("hs"))
+    shape = per_context.agg(F.collect_list(F.struct("context", "hs")).alias("__shape"))  # one row: a row a context and signature
+    seen = counts.select("cell", F.struct("context", F.col("n").cast("double").alias("n"), F.lit(0.0).alias("fitted")).cast(entry).alias("e"), F.lit(None).cast(weight).alias("x"))
+    fits = weights.where("w <> 0").select("cell", F.lit(None).cast(entry).alias("e"), F.struct(F.col("signature").cast("string").alias("signature"), F.col("w").cast("double").alias("w")).cast(weight).alias("x"))
+    met = seen.unionByName(fits).groupBy("cell").agg(F.collect_list("e").alias("es"), F.collect_list("x").alias("xs"))
+
+    def fitted(hs: Column) -> Column:
+        own = lambda x: F.aggregate(F.filter(hs, lambda h: h["signature"] == x["signature"]), F.lit(0.0), lambda t, h: t + x["w"] * h["h"])
+        return F.aggregate("xs", F.lit(0.0), lambda t, x: t + own(x))
+
+    reached = F.filter("__shape", lambda c: F.exists("xs", lambda x: F.exists(c["hs"], lambda h: h["signature"] == x["signature"])))
+    laid = F.transform(reached, lambda c: F.struct(c["context"].alias("context"), F.lit(0.0).alias("n"), fitted(c["hs"]).alias("fitted")).cast(entry))
+    rows = met.join(F.broadcast(shape)).select("cell", F.explode(F.concat("es", laid)).alias("e")).select("cell", "e.*")
+    return rows.groupBy("cell", "context").agg(F.sum("n").alias("n"), F.sum("fitted").alias("fitted"))
 
 
 def errors(both: DataFrame, n_contexts: int = 96) -> DataFrame:
