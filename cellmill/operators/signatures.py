@@ -6,8 +6,11 @@ weights (cell, signature, w).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,26 +75,20 @@ def exposures(counts: DataFrame, signatures: DataFrame) -> DataFrame:
     beyond that."""
     contexts, names, h = _matrix(signatures)
     shared = counts.sparkSession.sparkContext.broadcast((contexts, names, h))
-    per_cell = counts.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("context", F.col("n").cast("double")))).alias("m"))
 
     def work(batches):
         contexts, names, h = shared.value
-        place = {c: k for k, c in enumerate(contexts)}
         for batch in batches:
-            rows = []
-            for cell, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.zeros(len(contexts))
-                for c, n in m:
-                    if c in place:
-                        x[place[c]] += n
-                w = nnls(h, x)
-                r = float(np.linalg.norm(x - h @ w))
-                rows += [(cell, s, float(v), r) for s, v in zip(names, w, strict=True)]
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.string(), pa.float64(), pa.float64()), strict=True)], names=["cell", "signature", "w", "residual"])
+            at = 0
+            for some in _dense(batch.column(1), contexts):
+                fits = [nnls(h, x) for x in some]
+                cells = batch.column(0).slice(at, len(some)).take(pa.array(np.repeat(np.arange(len(some)), len(names))))
+                off = [float(np.linalg.norm(x - h @ w)) for x, w in zip(some, fits, strict=True)]
+                yield pa.record_batch([cells, pa.array(names * len(some), pa.string()), pa.array(np.concatenate(fits)), pa.array(np.repeat(off, len(names)))], names=["cell", "signature", "w", "residual"])
+                at += len(some)
 
     kind = dict(counts.dtypes)["cell"]
-    return per_cell.mapInArrow(work, f"cell {kind}, signature string, w double, residual double")
+    return _per_cell(counts).mapInArrow(work, f"cell {kind}, signature string, w double, residual double")
 
 
 def reconstruction(counts: DataFrame, signatures: DataFrame, weights: DataFrame) -> DataFrame:
@@ -138,24 +135,39 @@ def quality(pearson: str) -> Column:
     return F.when(c > 0.8, "excellent").when(c > 0.6, "good").when(c > 0.4, "moderate").otherwise("poor")
 
 
+def _dense(column: pa.Array, contexts: list, some: int = 1024) -> Iterator[np.ndarray]:
+    """Cells x contexts of a column of lists of (context, n), ``some`` cells at a
+    time; contexts that aren't asked for are left out."""
+    wanted = pa.array(contexts)
+    for at in range(0, len(column), some):
+        own = column.slice(at, some)
+        size = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+        entries = own.flatten()
+        context, n = entries.field(0), pc.fill_null(entries.field(1), 0.0)
+        place = pc.fill_null(pc.index_in(context, wanted.cast(context.type)), -1).to_numpy(zero_copy_only=False)
+        there = place >= 0
+        which = np.repeat(np.arange(len(own)), size)[there] * len(contexts) + place[there]
+        yield np.bincount(which, n.to_numpy(zero_copy_only=False)[there], len(own) * len(contexts)).astype(np.float64).reshape(len(own), len(contexts))
+
+
+def _per_cell(counts: DataFrame) -> DataFrame:
+    """cell, m: a row a cell with its contexts and counts."""
+    return counts.groupBy("cell").agg(F.collect_list(F.struct("context", F.col("n").cast("double").alias("n"))).alias("m"))
+
+
 def gram(counts: DataFrame, contexts: list[str]) -> np.ndarray:
     """contexts x contexts inner products over all cells.  Tasks send sums of
     their cells, so the driver gets one small matrix a task."""
-    per_cell = counts.groupBy("cell").agg(F.collect_list(F.struct("context", F.col("n").cast("double").alias("n"))).alias("m"))
 
     def work(batches):
-        place, total = {c: k for k, c in enumerate(contexts)}, np.zeros((len(contexts), len(contexts)))
+        total = np.zeros((len(contexts), len(contexts)))
         for batch in batches:
-            rows = np.zeros((batch.num_rows, len(contexts)))
-            for r, m in enumerate(batch.column(1).to_pylist()):
-                for e in m:
-                    if e["context"] in place:
-                        rows[r, place[e["context"]]] += e["n"]
-            total += rows.T @ rows
+            for rows in _dense(batch.column(0), contexts):
+                total += rows.T @ rows
         yield pa.record_batch([pa.array(total.ravel()), pa.array(np.arange(total.size))], names=["v", "k"])
 
     out = np.zeros(len(contexts) ** 2)
-    for r in per_cell.mapInArrow(work, "v double, k bigint").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in _per_cell(counts).select("m").mapInArrow(work, "v double, k bigint").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[r["k"]] = r["v"]
     return out.reshape(len(contexts), len(contexts))
 
@@ -189,22 +201,16 @@ def scree(counts: DataFrame, signatures: DataFrame, core: list[str], candidates:
     total = counts.agg(F.sum(F.col("n").cast("double") ** 2)).first()[0] or 0.0
 
     def error(sets: list[list[str]]) -> list[float]:
-        per_cell = counts.groupBy("cell").agg(F.collect_list(F.struct("context", F.col("n").cast("double").alias("n"))).alias("m"))
-
         def work(batches):
-            place, out = {c: k for k, c in enumerate(contexts)}, np.zeros(len(sets))
+            out, columns = np.zeros(len(sets)), [h[:, [names.index(s) for s in some]] for some in sets]
             for batch in batches:
-                for m in batch.column(1).to_pylist():
-                    x = np.zeros(len(contexts))
-                    for e in m:
-                        if e["context"] in place:
-                            x[place[e["context"]]] += e["n"]
-                    for j, some in enumerate(sets):
-                        own = h[:, [names.index(s) for s in some]]
-                        out[j] += float(((x - own @ nnls(own, x)) ** 2).sum())
+                for rows in _dense(batch.column(0), contexts):
+                    for x in rows:
+                        for j, own in enumerate(columns):
+                            out[j] += float(((x - own @ nnls(own, x)) ** 2).sum())
             yield pa.record_batch([pa.array(np.arange(len(sets))), pa.array(out)], names=["k", "v"])
 
-        sums = {r["k"]: r["v"] for r in per_cell.mapInArrow(work, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        sums = {r["k"]: r["v"] for r in _per_cell(counts).select("m").mapInArrow(work, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         return [sums.get(k, 0.0) for k in range(len(sets))]
 
     known = [c for c in candidates if c in names]
