@@ -19,7 +19,9 @@ def exact_percentiles(df: DataFrame, cols: list[str], by: list[str], at: tuple[f
     """by, name, at, n, nans, value: exact percentiles of columns a group, linear
     between neighbours; nulls take no part, and a NaN makes all of a group's null.
 
-    No group meets in one buffer.  A sketch a group brackets each percentile;
+    No group meets in one buffer.  Groups of ``BRACKETED`` rows or fewer count their
+    equal values and order them once for all percentiles.  Of larger ones a sketch
+    brackets each percentile;
     what lies below the bracket is only counted, equal values inside it are
     counted once, and only those are put in order: some thousandths of a large
     group's rows.  The counts show whether the wanted ranks lie inside; a bracket
@@ -27,19 +29,47 @@ def exact_percentiles(df: DataFrame, cols: list[str], by: list[str], at: tuple[f
     """
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols))
     rows = df.select(*by, F.explode(pairs).alias("__x")).select(*by, "__x.name", "__x.v").where("v IS NOT NULL")
-    edges = [min(max(p + side * SLACK, 0.0), 1.0) for p in at for side in (-1, 1)]
     key = [*by, "name"]
-    sketch = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("nans"), F.percentile_approx("v", edges, ACCURACY).alias("e"))
-    sketch = stored(sketch, "sketch")  # a row a group and column: its size is known, so joins broadcast it where it is small
-    all_ = F.col("n") <= BRACKETED
-    wanted = F.array(*(F.struct(F.lit(p).alias("at"), F.when(all_, F.lit(float("-inf"))).otherwise(F.col("e")[2 * k]).alias("low"), F.when(all_, F.lit(float("inf"))).otherwise(F.col("e")[2 * k + 1]).alias("high")) for k, p in enumerate(at)))
+    # a row a group and column: its size is known, so joins broadcast it where it is small
+    sizes = stored(rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("nans")), "sizes")
+    large, small = sizes.where(F.col("n") > BRACKETED), sizes.where(F.col("n") <= BRACKETED)
+    kinds = sizes.agg(F.count_if(F.col("n") > BRACKETED).alias("large"), F.count_if(F.col("n") <= BRACKETED).alias("small")).first()
+    of = lambda some, whole: rows if whole else rows.join(some.select(*key), key, "left_semi")
+    ends = None
+    if kinds["large"]:
+        ends = _bracketed(of(large, not kinds["small"]), large, key, at)
+    if kinds["small"] or ends is None:
+        own = _ordered(of(small, not kinds["large"]), key, at)
+        ends = own if ends is None else ends.unionByName(own)
+    full = sizes.select(*key, "n", "nans", F.explode(F.array(*map(F.lit, at))).alias("at"))
+    out = full.join(ends, [*key, "at"], "left")
+    return out.withColumn("value", F.when(F.col("nans") == 0, F.col("value")))
+
+
+def _ordered(rows: DataFrame, key: list[str], at: tuple[float, ...]) -> DataFrame:
+    """key, at, value of groups whose values can be put in order by one task."""
+    values = rows.groupBy(*key, "v").agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumns({"upto": F.sum("k").over(w), "n": F.sum("k").over(Window.partitionBy(*key))})
+    end = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    rank = {p: F.lit(p) * (F.col("n") - 1) for p in at}
+    found = placed.groupBy(*key).agg(F.max("n").alias("n"), F.array(*(F.struct(end(F.floor(rank[p])).alias("a"), end(F.ceil(rank[p])).alias("b"), F.lit(p).alias("at")) for p in at)).alias("e"))
+    each = found.select(*key, "n", F.explode("e").alias("e")).select(*key, "n", "e.*")
+    r = F.col("at") * (F.col("n") - 1)
+    return each.select(*key, "at", (F.col("a") + (F.col("b") - F.col("a")) * (r - F.floor(r))).alias("value"))
+
+
+def _bracketed(rows: DataFrame, sizes: DataFrame, key: list[str], at: tuple[float, ...]) -> DataFrame:
+    """key, at, value of groups of any size, whose ``sizes`` are given, if none is NaN."""
+    edges = [min(max(p + side * SLACK, 0.0), 1.0) for p in at for side in (-1, 1)]
+    sketch = stored(rows.groupBy(*key).agg(F.percentile_approx("v", edges, ACCURACY).alias("e")).join(sizes, key), "sketch")
+    wanted = F.array(*(F.struct(F.lit(p).alias("at"), F.col("e")[2 * k].alias("low"), F.col("e")[2 * k + 1].alias("high")) for k, p in enumerate(at)))
     ends = stored(_inside(rows, sketch.where("nans = 0").select(*key, "n", F.explode(wanted).alias("w")), key), "percentiles")
     missed = ends.where("NOT sure")
     if missed.limit(1).count():
         whole = F.struct("at", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
         ends = ends.where("sure").unionByName(_inside(rows, missed.select(*key, "n", whole.alias("w")), key))
-    full = sketch.select(*key, "n", "nans", F.explode(F.array(*map(F.lit, at))).alias("at"))
-    return full.join(ends.drop("n", "sure"), [*key, "at"], "left")
+    return ends.select(*key, "at", "value")
 
 
 def _inside(rows: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
