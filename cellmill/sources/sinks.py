@@ -6,10 +6,12 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import dense_ids
+from .scratch import stored
 
 
 def write_matrix(x: DataFrame, folder: str, partition: str = "puck") -> None:
@@ -30,23 +32,37 @@ def filled(df: DataFrame) -> DataFrame:
 
 def market_parts(x: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, genes, cells): numbered names and 1-based entries (SNK5)."""
-    genes, cells = dense_ids(x, "gene", "g"), dense_ids(x, "cell", "c")
+    x = stored(x, "entries")  # both numberings and the entries read it
+    genes, cells = stored(dense_ids(x, "gene", "g"), "genes"), stored(dense_ids(x, "cell", "c"), "cells")
     return x.join(genes, "gene").join(cells, "cell").select("g", "c", "value"), genes, cells
 
 
-def one_file(lines: DataFrame, order: list[str], path: str) -> None:
-    """The column ``value`` in the order of some columns as one text file, which
-    one task writes after a sort that may spill."""
+def one_file(lines: DataFrame, order: list[str], path: str, part_bytes: int = 16 << 20) -> None:
+    """The column ``value`` in the order of some columns as one text file.  Ranges of
+    the order are sorted and written by tasks of their own; one task then copies their
+    bytes in turn, ``part_bytes`` at a time."""
     spark, parts = lines.sparkSession, f"{path}.parts"
-    lines.repartition(1).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(parts)
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(parts)
     hadoop = spark._jvm.org.apache.hadoop.fs
     system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    made = [x.getPath() for x in system.listStatus(hadoop.Path(parts)) if x.getPath().getName().startswith("part-")]
+    uri = lambda p: p.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    names = [x.getPath() for x in system.listStatus(hadoop.Path(parts)) if x.getPath().getName().startswith("part-")]
+    made = sorted(map(uri, names), key=lambda x: int(x.rsplit("/part-", 1)[1].split("-", 1)[0]))
     system.delete(hadoop.Path(path), True)
-    if made:
-        system.rename(made[0], hadoop.Path(path))
-    else:
-        system.create(hadoop.Path(path)).close()
+    whole = uri(hadoop.Path(path))
+
+    def copied(batches):
+        for _ in batches:
+            to, at = fs.FileSystem.from_uri(whole)
+            with to.open_output_stream(at) as out:
+                for one in made:
+                    own, name = fs.FileSystem.from_uri(one)
+                    with own.open_input_stream(name) as data:
+                        while block := data.read(part_bytes):
+                            out.write(block)
+        yield from ()
+
+    spark.range(0, 1, 1, 1).mapInArrow(copied, "id bigint").collect()
     system.delete(hadoop.Path(parts), True)
 
 
@@ -54,6 +70,7 @@ def write_market(x: DataFrame, folder: str) -> None:
     """matrix.mtx (banner, size line, entries by cell and gene), genes.tsv and
     barcodes.tsv, each one file, as the format wants (SNK5, SNK9)."""
     entries, genes, cells = market_parts(x)
+    entries = stored(entries, "numbered")
     sizes = [df.count() for df in (genes, cells, entries)]
     head = x.sparkSession.createDataFrame([(0, 0, 0, "%%MatrixMarket matrix coordinate real general"), (0, 0, 1, " ".join(map(str, sizes)))], "part int, c bigint, g bigint, value string")
     body = entries.select(F.lit(1).alias("part"), "c", "g", F.concat_ws(" ", "g", "c", F.col("value").cast("string")).alias("value"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,14 +79,28 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, k: the lines of a file, or of a folder's files in the order of their
     names, numbered from 1.  Blocks of files are numbered by themselves, after
     the sizes of those before them; the driver gets a size a block."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
     before, starts = 0, []
     for r in sorted(lines.groupBy("f", "b").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["f"], r["b"])):
         starts.append((r["f"], r["b"], before))
         before += r["n"]
-    own = spark.createDataFrame(starts, "f string, b bigint, before bigint")
-    w = Window.partitionBy("f", "b").orderBy("m")
-    return lines.withColumn("r", F.row_number().over(w)).join(F.broadcast(own), ["f", "b"]).select("value", (F.col("before") + F.col("r")).alias("k"))
+    first = {(f, b): n for f, b, n in starts}
+
+    def numbered(batches):
+        # a task reads a block from its first line to its last, so lines are counted as they come
+        open_, k = None, 0
+        for batch in batches:
+            files, at = batch.column(1).dictionary_encode(), batch.column(2).to_numpy(zero_copy_only=False)
+            names, code = files.dictionary.to_pylist(), files.indices.to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(at) != 0)]) if len(at) else []
+            for i, j in zip(new, [*new[1:], len(at)], strict=True):
+                block = (names[code[i]], int(at[i]))
+                if block != open_:
+                    open_, k = block, first[block]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.arange(k + 1, k + 1 + j - i))], names=["value", "k"])
+                k += j - i
+
+    return lines.mapInArrow(numbered, "value string, k bigint")
 
 
 def size_line(spark: SparkSession, path: str) -> str:
