@@ -35,6 +35,7 @@ def gene_flags(x: DataFrame) -> DataFrame:
 def qc_and_merge(x: DataFrame, min_genes: int = 100, min_cells: int = 10, nmads: float = 5) -> tuple[DataFrame, DataFrame]:
     """(merged, flags): pucks filtered each by its own bounds, then merged over
     the genes that all of them keep (PIP2).  ``x`` has puck, cell, gene, value."""
+    x = stored(x, "counts")  # five steps read it
     where = x.select("cell", "puck").distinct()
     m = matrix.cell_metrics(x, gene_flags(x), ("mt",)).join(where, "cell")
     flags = qc.flagged(m, ["puck"], ["log1p_total_counts", "log1p_n_genes", "pct_top_20"], "pct_counts_mt", nmads)
