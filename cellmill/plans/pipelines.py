@@ -76,7 +76,8 @@ def marker_bakeoff(x: DataFrame, panel: DataFrame, obs: DataFrame, n_cells: int,
     ``obs``: cell, cluster, consensus.
     """
     kept = markers.prune_reasons(panel, manual=manual).where("reason = ''")
-    scores = markers.module_scores(matrix.log_normalised(x), kept.select("compartment", "gene"), n_cells)
+    norm = stored(matrix.log_normalised(x), "normalised")  # means and scores read it
+    scores = markers.module_scores(norm, kept.select("compartment", "gene"), n_cells)
     w = F.struct(F.round("score", 9).alias("s"), F.col("compartment").alias("c"))  # not by the order of a sum
     two = scores.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(w), asc=False), 1, 2).alias("b"))  # a row a compartment
     best = two.select("cell", F.col("b")[0]["c"].alias("marker"), F.col("b")[0]["s"].alias("top"), (F.col("b")[0]["s"] - F.coalesce(F.try_element_at("b", F.lit(2))["s"], F.lit(0.0))).alias("margin"))
@@ -101,7 +102,7 @@ def mask_diagnostic(x: DataFrame, cells: DataFrame, mask: str, panel: DataFrame,
 
 def label_flips(norm: DataFrame, cells: DataFrame, panel: DataFrame, n_cells: int, left_out: str | int) -> DataFrame:
     """How many cells go from which best label to which without one gene of the panel (PIP6)."""
-    genes = panel.select("compartment", "gene")
+    genes, norm = panel.select("compartment", "gene"), stored(norm, "normalised")
     before, after = (markers.best_labels(markers.module_scores(norm, some, n_cells), cells) for some in (genes, genes.where(F.col("gene") != left_out)))
     return markers.flips(before, after)
 
