@@ -12,15 +12,19 @@ pigeonhole principle alone to stay selective.  So links come in two steps:
    different tight groups.  A pair at the similarity agrees in one partition at
    least with a probability of 1 - MISS: the width of partitions follows the
    logarithm of the number of texts, their number follows the width.  Pairs
-   that agree and differ in at most FAR of 128 bits are candidates, thinned to
-   a forest of least distances between the tight groups, each row's nearest
-   partners and its most central ones.  Candidates are joined with their texts,
-   and those with a Jaccard similarity of LEAST or more are links.
-
-A tight group meets others in a partition through all its members there, if
-they are STAND or fewer.  Of more, half of STAND stand for it that are nearest to
-the majority of their bits, as the original of edited copies is, and half by a
-hash that differs from partition to partition.
+   that agree and differ in at most FAR of 128 bits are candidates.  A forest of
+   the candidates under each value joins tight groups to clusters: first under
+   few partitions, then under the others, where a cluster counts as one already.
+3. A cluster's rows meet with the hashes of their shingles, each row once.  Of
+   all pairs of different tight groups that differ in at most FAR of 128 bits,
+   those with a Jaccard similarity of LEAST or more are links.  Pairs that other
+   links join already are left out, all others are tried; only links that join
+   something come out.  Clusters of more than BLOCK bytes are dealt into blocks:
+   each is tried alone, then every two of them, but for two of one group.
+
+In steps 2 and 3 rows are first compared with the centre of a group.  A row
+further away than FAR and the group's radius has no candidate in it, so large
+groups cost rows that lie elsewhere one comparison, not one for every member.
 
 Edge cases: a null text is the empty text; texts without words are equal to
 one another; texts of fewer than five words have one shingle, the whole text;
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .components import components
 from .scratch import written
-from .textbatch import in_pieces, plain
+from .textbatch import in_pieces
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Words of 64 bits a fingerprint.
@@ -55,18 +59,12 @@ MISS = 0.01
 #: Texts that share a partition's value by chance, on average.
 CROWD = 64
 #: Of 128 bits: candidates differ in at most FAR (19 are expected at LEAST,
-#: 64 by chance); those within NEAR are tried first.
-FAR, NEAR = 32, 16
-#: Partners of a row in a partition that become candidates besides the forest:
-#: those nearest to all others, as the original of a group of edited copies is.
-HUBS = 3
-#: And partners of least distance.
-NEAREST = 3
-#: Members of a tight group that stand for it under a partition's value.
-STAND = 16
-#: Rows under a value beyond which fewer stand for each tight group, one at least:
-#: that nearest to the majority.
-CROWDED = 4096
+#: 64 by chance).
+FAR = 32
+#: Partitions under which clusters begin.
+FEW = 3
+#: Bytes of the hashes that a block holds, about; a longer text is a block of its own.
+BLOCK = 8 << 20
 
 
 def shingles(text: bytes) -> set[int]:
@@ -131,185 +129,233 @@ def probes(words: Column, bits: np.ndarray) -> Column:
     return run(words)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b, ra, rb, d: candidate pairs of rows a and b of the tight groups ra
-    and rb that differ in d of 128 bits, for ``nodes`` (r, w, root)."""
-    bits = partitions(nodes.count())
-    rows = nodes.select(F.explode(probes(F.col("w"), bits)).alias("k"), "root", "r", F.col("w")[0].alias("x"), F.col("w")[1].alias("y"))
-    dealt = rows.repartition("k").sortWithinPartitions("k", "root", "r")
-    return dealt.mapInArrow(_met, "a bigint, b bigint, ra bigint, rb bigint, d int")
+def candidates(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
+    """a, b: a forest of the candidates under each value, as pairs of the groups
+    (root) of ``nodes`` (w, root)."""
+    rows = nodes.select(F.explode(probes(F.col("w"), bits)).alias("k"), "root", F.col("w")[0].alias("x"), F.col("w")[1].alias("y"))
+    dealt = rows.repartition("k").sortWithinPartitions("k", "root")
+    return dealt.mapInArrow(_met, "a bigint, b bigint")
 
 
 def _met(batches):
-    """Candidates of sorted rows (k, root, r, x, y): a forest for each k."""
-    rest = np.zeros((0, 5), np.int64)
+    """Forests of sorted rows (k, root, x, y)."""
+    rest = np.zeros((0, 4), np.int64)
     for batch in batches:
         rows = np.concatenate([rest, np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns], axis=1)])
-        if not len(rows):
-            continue
-        # the groups but the last are whole
-        last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        # the values but the last are whole
+        last = np.flatnonzero(rows[:, 0] != rows[-1, 0]) if len(rows) else []
         cut = int(last[-1]) + 1 if len(last) else 0
-        stand, open_ = _standing(rows[:cut]), rows[cut:]
-        value = np.flatnonzero(stand[:, 0] != rows[-1, 0])
-        done = int(value[-1]) + 1 if len(value) else 0
-        yield from _forest(_eased(stand[:done]))
-        rest = np.concatenate([stand[done:], open_])
-    yield from _forest(_eased(_standing(rest)))
-
-
-def _eased(rows: np.ndarray) -> np.ndarray:
-    """The rows, fewer a tight group under values of more than CROWDED."""
-    cuts = np.append(np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)]), len(rows))
-    if not len(rows) or np.diff(cuts).max() <= CROWDED:
-        return rows
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        groups = 1 + int((rows[a + 1 : b, 1] != rows[a : b - 1, 1]).sum())
-        out.append(rows[a:b] if b - a <= CROWDED else _standing(rows[a:b], max(1, CROWDED // groups)))
-    return np.concatenate(out)
-
-
-def _standing(rows: np.ndarray, stand: int = STAND) -> np.ndarray:
-    """``stand`` rows or fewer of each tight group under a value; of few, all."""
-    if not len(rows):
-        return rows
-    head = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-    size = np.diff(np.append(head, len(rows)))
-    if size.max() <= stand:
-        return rows
-    out = []
-    for a, n in zip(head.tolist(), size.tolist(), strict=True):
-        own = rows[a : a + n]
-        if n > stand:
-            bits = np.unpackbits(np.ascontiguousarray(own[:, 3:5]).view(np.uint8).reshape(n, 16), axis=1, bitorder="little")
-            off = (bits != (2 * bits.sum(axis=0) > n)).sum(axis=1)
-            centre = np.argsort(off, kind="stable")[: (stand + 1) // 2]
-            other = np.setdiff1d(np.arange(n), centre)
-            mixed = (own[other, 2].astype(np.uint64) + np.uint64(int(own[0, 0]) % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            chosen = other[np.argsort(mixed ^ (mixed >> np.uint64(32)), kind="stable")[: stand - len(centre)]]
-            own = own[np.sort(np.concatenate([centre, chosen]))]
-        out.append(own)
-    return np.concatenate(out)
-
-
-def _best(both: np.ndarray, worth: np.ndarray, many: int) -> np.ndarray:
-    """Of rows (row, partner, distance) the ``many`` of each row that come first by ``worth``."""
-    order = np.lexsort((both[:, 1], worth, both[:, 0]))
-    both = both[order]
-    first = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, np.int64)
-    return both[np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both)))) < many]
-
-
-def _forest(rows: np.ndarray, most_pairs: int = 1_000_000):
-    """Of all pairs of a run of different tight groups that differ in at most FAR
-    bits: a forest of least distances between the groups, and of each row the
-    HUBS partners that are nearest to all others and the NEAREST to itself."""
+        rest = rows[cut:]
+        yield from _forest(rows[:cut])
+    yield from _forest(rest)
+
+
+def _inside(sizes: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n of ``sizes``."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs(sizes: np.ndarray, most: int):
+    """Slices of ``sizes``, each with a sum of at most ``most`` or a single item."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _close(rows: np.ndarray, most_pairs: int = 1_000_000):
+    """a, b, d: places of all pairs of rows (k, root, x, y) of a value and different
+    groups that differ in d of 128 bits, FAR or fewer, some at a time, by a."""
     if len(rows) < 2:
         return
-    head = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+    new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
     size = np.diff(np.append(head, len(rows)))
-    ends = np.cumsum(np.repeat(head + size, size) - np.arange(len(rows)) - 1)
-    cuts = [0]
-    while cuts[-1] < len(rows):
-        at = cuts[-1]
-        cuts.append(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_pairs))))
-    x, y = (np.ascontiguousarray(rows[:, c]).view(np.uint64) for c in (3, 4))
-
-    def close(at: int, stop: int):
-        n = np.diff(ends[at:stop], prepend=ends[at - 1] if at else 0)
-        a = np.repeat(np.arange(at, stop), n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        d = np.bitwise_count(x[a] ^ x[b])
-        near = (d <= FAR) & (rows[a, 1] != rows[b, 1])
-        a, b, d = a[near], b[near], d[near].astype(np.int64)
-        d += np.bitwise_count(y[a] ^ y[b])
-        near = d <= FAR
-        return a[near], b[near], d[near]
-
-    blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
-    central = np.zeros(len(rows))
-    for block in blocks:
-        a, b, d = close(*block)
-        central += np.bincount(a, FAR + 1 - d, len(rows)) + np.bincount(b, FAR + 1 - d, len(rows))
-    # the rows of a tight group are joined from the start
+    first = np.flatnonzero(np.append(True, rows[head[1:], 0] != rows[head[:-1], 0]))  # groups that begin a value
+    after = np.repeat(np.append(first[1:], len(head)), np.diff(np.append(first, len(head)))) - np.arange(len(head)) - 1
+    xy = np.ascontiguousarray(rows[:, 2:4]).view(np.uint64)
+    # the centre of a group has the majority of its bits
+    centre, large = xy[head], np.flatnonzero(size > 1)
+    for k in _runs(size[large], most_pairs // 16):
+        own = large[k]
+        n = size[own]
+        bits = np.unpackbits(xy[np.repeat(head[own], n) + _inside(n)].view(np.uint8), axis=1, bitorder="little")
+        most = 2 * np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64) > n[:, None]
+        centre[own] = np.packbits(most, axis=1, bitorder="little").view(np.uint64)
+    differ = lambda p, q: np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    reach = FAR + np.maximum.reduceat(differ(xy, centre[group]), head)
+    for k in _runs(after[group], most_pairs):
+        n = after[group[k]]
+        a = np.repeat(np.arange(k.start, k.stop), n)
+        g = group[a] + 1 + _inside(n)
+        near = differ(xy[a], centre[g]) <= reach[g]
+        a, g = a[near], g[near]
+        for m in _runs(size[g], most_pairs):
+            n = size[g[m]]
+            p, q = np.repeat(a[m], n), np.repeat(head[g[m]], n) + _inside(n)
+            d = differ(xy[p], xy[q])
+            near = d <= FAR
+            if near.any():
+                yield p[near], q[near], d[near]
+
+
+def _forest(rows: np.ndarray):
+    """A forest of the candidates between the groups of each value."""
+    if not len(rows):
+        return
+    # the rows of a group are joined from the start
     _, first, same = np.unique(rows[:, :2], axis=0, return_index=True, return_inverse=True)
-    up = first[same.reshape(-1)]
-    none = np.zeros((0, 3), np.int64)
-    kept, hubs, nearest = [none], none, none
-    for block in blocks:
-        a, b, d = close(*block)
-        for e in np.unique(d).tolist():
-            p, q = a[d == e], b[d == e]
-            while len(p):  # a pair for every two trees that meet at this distance
-                low, high = np.minimum(up[p], up[q]), np.maximum(up[p], up[q])
-                apart = low != high
-                p, q, low, high = p[apart], q[apart], low[apart], high[apart]
-                if not len(p):
-                    break
-                _, one = np.unique(high, return_index=True)  # each tree is hung under one other
-                kept.append(np.stack([p[one], q[one], np.full(len(one), e)], axis=1))
-                up[high[one]] = low[one]
-                while (up[up] != up).any():
-                    up = up[up]
-        both = np.concatenate([np.stack([a, b, d], axis=1), np.stack([b, a, d], axis=1)])
-        hubs, nearest = np.concatenate([hubs, both]), np.concatenate([nearest, both])
-        hubs, nearest = _best(hubs, -central[hubs[:, 1]], HUBS), _best(nearest, nearest[:, 2], NEAREST)
-    found = np.concatenate([*kept, hubs, nearest])
-    if len(found):
-        found[:, :2].sort(axis=1)
-        a, b, d = np.unique(found, axis=0).T
-        columns = (rows[a, 2], rows[b, 2], rows[a, 1], rows[b, 1])
-        yield pa.record_batch([*map(pa.array, columns), pa.array(d, pa.int32())], names=["a", "b", "ra", "rb", "d"])
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """double: the Jaccard similarity of two texts' shingles."""
-
-    @F.arrow_udf("double")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        both = zip(*(pc.cast(plain(x), pa.large_binary()) for x in (a, b)), strict=True)
-        out = []
-        for p, q in both:
-            s, t = shingles(p.as_py()), shingles(q.as_py())
-            out.append(len(s & t) / len(s | t) if s or t else 1.0)
-        return pa.array(out, pa.float64())
+    up, kept = first[same.reshape(-1)], []
+    for p, q, _ in _close(rows):
+        while len(p):  # a pair for every two trees that meet
+            low, high = np.minimum(up[p], up[q]), np.maximum(up[p], up[q])
+            apart = low != high
+            p, q, low, high = p[apart], q[apart], low[apart], high[apart]
+            if not len(p):
+                break
+            _, one = np.unique(high, return_index=True)  # each tree is hung under one other
+            kept.append(np.stack([rows[p[one], 1], rows[q[one], 1]]))
+            up[high[one]] = low[one]
+            while (up[up] != up).any():
+                up = up[up]
+    if kept:
+        a, b = np.concatenate(kept, axis=1)
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def hashes(text: Column) -> Column:
+    """binary: the shingles of a text, 8 bytes each."""
+
+    def hashed(texts: pa.Array) -> pa.Array:
+        own = (shingles(x) for x in pc.cast(texts, pa.large_binary()).to_pylist())
+        return pa.array([np.fromiter(x, np.uint64, len(x)).tobytes() for x in own], pa.binary())
+
+    @F.arrow_udf("binary")
+    def run(text: pa.Array) -> pa.Array:
+        return in_pieces(text, hashed, pa.binary())
+
+    return run(text)
+
 
-    return run(a, b)
+def _tried(batches):
+    """Links of sorted rows (k, root, x, y, side, s): pairs of groups under each k."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        k = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        rest = batch.slice(cut)
+        yield from _similar(batch.slice(0, cut))
+    if rest is not None:
+        yield from _similar(rest)
+
+
+def _similar(batch: pa.RecordBatch):
+    """A forest of the links between the groups of each k: all candidates are
+    tried, from different sides unless the side is -1, that it leaves apart."""
+    if batch.num_rows < 2:
+        return
+    rows = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
+    side, sets = batch.column(4).to_numpy(), batch.column(5)
+    count = pc.binary_length(sets).to_numpy() // 8
+    start = np.cumsum(count) - count
+    _, ids = np.unique(np.frombuffer(b"".join(sets.to_pylist()), np.uint64), return_inverse=True)
+    own = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    group = np.cumsum(np.append(False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+    top, kept = np.arange(int(group[-1]) + 1), []
+    for a, b, _ in _close(rows):
+        # sets of too different sizes can't be similar
+        fit = ((side[a] < 0) | (side[a] != side[b])) & (np.minimum(count[a], count[b]) >= LEAST * np.maximum(count[a], count[b]) * (1 - 1e-9))
+        a, b = a[fit], b[fit]
+        cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)]), len(a)).tolist()
+        for at, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            one = int(a[at])
+            others = b[at:stop]
+            others = others[top[group[others]] != top[group[one]]]
+            if not len(others):
+                continue
+            if count[one]:
+                mine, n = ids[start[one] : start[one] + count[one]], count[others]
+                own[mine] = True
+                both = np.add.reduceat(own[ids[np.repeat(start[others], n) + _inside(n)]], np.cumsum(n) - n, dtype=np.int64)
+                own[mine] = False
+                others = others[both / (count[one] + n - both) >= LEAST]
+            for other in others.tolist():
+                low, high = sorted((int(top[group[one]]), int(top[group[other]])))
+                if low != high:
+                    kept.append((rows[one, 1], rows[other, 1]))
+                    top[top == high] = low
+    if kept:
+        p, q = np.array(kept, np.int64).T
+        yield pa.record_batch([pa.array(p), pa.array(q)], names=["a", "b"])
+
+
+def _blocks(own: DataFrame) -> DataFrame:
+    """``own`` (r, cluster, root, s, ...) with ``owner`` and ``i``, the block in its
+    cluster: groups of more than BLOCK bytes own theirs, the others share some."""
+    size = own.groupBy("cluster", "root").agg(F.sum(F.octet_length("s") + F.lit(64)).alias("n"))
+    shared = size.where(F.col("n") <= BLOCK).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("many"))
+    sized = own.join(size.hint("merge"), ["cluster", "root"]).join(shared.hint("merge"), "cluster", "left")
+    large = F.col("n") > BLOCK
+    i = F.when(large, F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.col("many")))
+    return sized.select(*own.columns, F.when(large, F.col("root")).alias("owner"), i.alias("i"))
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    """a, b: links between groups of ``rows`` (k, root, x, y, side, s)."""
+    dealt = rows.select("k", "root", "x", "y", "side", "s").repartition("k").sortWithinPartitions("k", "root")
+    return written(dealt.mapInArrow(_tried, "a bigint, b bigint"), "links")
+
+
+def verified(own: DataFrame) -> DataFrame:
+    """a, b: links that join the groups (root) of ``own`` (r, cluster, root, x, y, s)
+    as all links between rows of a cluster do."""
+    placed = written(_blocks(own), "blocks")
+    links = _links(placed.where("owner IS NULL").select("*", F.xxhash64("cluster", "i").alias("k"), F.lit(-1).alias("side")))
+    parts = placed.select("cluster", "owner", "i").distinct().groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    many = written(parts.select("cluster"), "large-clusters")
+    if many.isEmpty():
+        return links
+    # groups that are joined by now are one; its blocks don't meet one another
+    rest = relabelled(own.join(many.hint("merge"), "cluster", "left_semi"), components(links))
+    placed = written(_blocks(rest), "blocks")
+    block = placed.select("cluster", F.struct("owner", "i").alias("p")).distinct()
+    pairs = block.join(block.withColumnRenamed("p", "q"), "cluster").where("p < q AND (p.owner IS NULL OR q.owner IS NULL OR p.owner <> q.owner) OR p = q AND p.owner IS NULL")
+    pairs = pairs.select("cluster", "p", "q", F.xxhash64("cluster", "p.owner", "p.i", "q.owner", "q.i").alias("k"))
+    # a block of pairs is two blocks' rows, or one's
+    sides = pairs.select("cluster", F.col("p").alias("b"), "k", F.when(F.expr("p = q"), -1).otherwise(0).alias("side")).unionByName(
+        pairs.where("p <> q").select("cluster", F.col("q").alias("b"), "k", F.lit(1).alias("side"))
+    )
+    sides = written(sides.select("cluster", F.col("b.owner").alias("o"), F.col("b.i").alias("j"), "k", "side"), "block-pairs")
+    met = placed.withColumnRenamed("cluster", "c").join(sides.hint("merge"), F.expr("c = cluster AND i = j AND owner <=> o"))
+    return links.unionByName(_links(met))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b (tight groups): those pairs (a, b, ra, rb) whose texts (r, text) are similar."""
-    one = texts.select(F.col("r").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("r").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b", "ra", "rb").join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return both.where(similarity(F.col("ta"), F.col("tb")) >= LEAST).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+def relabelled(rows: DataFrame, group: DataFrame, into: str = "root") -> DataFrame:
+    """``rows`` with ``into``, the root of ``group`` (node, root) that their own root has."""
+    own = group.select(F.col("node").alias("root"), F.col("root").alias("reached"))
+    joined = rows.join(own.hint("merge"), "root", "left")
+    if into == "root":
+        return joined.withColumn("root", F.coalesce("reached", "root")).drop("reached")
+    return joined.withColumnRenamed("reached", into)
 
 
 def linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root: the smallest tight group that links reach, for every tight
     group with a link to another; ``rows`` (r, text) hold the texts."""
-    ordered = candidates(nodes).select(
-        F.when(F.col("ra") < F.col("rb"), F.struct("a", "b", "ra", "rb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))).alias("p"),
-        "d",
-    )
-    pairs = written(ordered.groupBy("p").agg(F.min("d").alias("d")).select("p.*", "d"), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct()
-    texts = written(rows.join(ends.hint("merge"), "r", "left_semi"), "pair-texts")
-    # first each tight group tries one pair, near ones towards the smallest group ...
-    sides = pairs.unionByName(pairs.select("a", "b", F.col("rb").alias("ra"), F.col("ra").alias("rb"), "d"))
-    best = sides.groupBy("ra").agg(F.min(F.struct((F.col("d") > NEAR).alias("far"), "rb", "d", "a", "b")).alias("s"))
-    tried = written(best.select("s.a", "s.b", F.least("ra", "s.rb").alias("ra"), F.greatest("ra", "s.rb").alias("rb")).distinct(), "first-pairs")
-    first = written(verified(tried, texts), "first-links")
-    # ... then all other pairs are tried that those links leave apart
-    group = written(components(first), "first-groups")
-    for side in ("ra", "rb"):
-        own = group.select(F.col("node").alias(side), F.col("root").alias(f"{side}_group"))
-        pairs = pairs.join(own.hint("merge"), side, "left").withColumn(f"{side}_group", F.coalesce(f"{side}_group", side))
-    apart = pairs.where("ra_group <> rb_group").join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    more = written(verified(apart, texts), "more-links")
-    return components(first.unionByName(more))
+    bits = partitions(nodes.count())
+    first = written(candidates(nodes.select("w", "root"), bits[:FEW]), "first-forest")
+    begun = relabelled(nodes.select("w", "root"), components(first))
+    forest = first.unionByName(written(candidates(begun, bits[FEW:]), "forest"))
+    # rows of groups without candidates end here
+    clusters = written(components(forest), "clusters")
+    taking = relabelled(nodes.select("r", "root", F.col("w")[0].alias("x"), F.col("w")[1].alias("y")), clusters, "cluster").where("cluster IS NOT NULL")
+    own = rows.join(written(taking, "taking").hint("merge"), "r").select("r", "cluster", "root", "x", "y", hashes(F.col("text")).alias("s"))
+    return components(verified(written(own, "sets")))
 
 
 def representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
