@@ -10,6 +10,9 @@ longer phrases that hold a phrase, are found by joins on ids, never on words.
 Texts are coded once in blocks of one language: a block has its own dictionary,
 so that exchanges carry each distinct word or pair of a block once, with its
 count, whatever a word's frequency.  A pair's rows are then at most the blocks.
+A task that names pairs answers each block by messages of many ids, eight bytes
+each, since the rows of frequent pairs grow faster than the texts until most
+pairs are frequent.
 
 A phrase is a candidate if it occurs LEAST times or more; so are all its parts,
 which is why infrequent words and pairs take no further part, and why a phrase
@@ -38,6 +41,8 @@ HELD = 50
 SCALE = 1_000_000
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK = 16 << 20
+#: Ids that a naming task holds before it sends them to their blocks, about.
+SENT = 1 << 20
 
 _BLANK, _STOP = b"\t ", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
@@ -45,7 +50,7 @@ _KIND[list(_BLANK)], _KIND[list(_STOP)] = 1, 2
 
 CODED = "block bigint, lang string, n bigint, grams binary, words array<string>, counts array<bigint>"
 PAIRED = "block bigint, p int, left bigint, right bigint, c bigint, grams binary"
-NAMED = "id bigint, left bigint, right bigint, f bigint, block bigint, p int"
+NAMED = "id bigint, left bigint, right bigint, f bigint, block bigint, codes binary"
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -104,8 +109,9 @@ def paired(batches, last: bool):
     """Pairs of neighbouring frequent phrases of each block, with their counts, and
     unless it is the ``last`` level the block in codes of these pairs (column grams).
 
-    Rows (block, p, id, grams) come block by block, first the block's codes, then
-    the id of each code p that is frequent."""
+    Rows (block, p, id, grams, codes) come block by block, first the block's grams,
+    then the ids of the codes that are frequent: one in columns p and id, or those
+    of a message, see :func:`messages`."""
     names = ["block", "p", "left", "right", "c", "grams"]
     open_, grams, known = None, None, []
 
@@ -128,6 +134,8 @@ def paired(batches, last: bool):
 
     for batch in batches:
         block, p, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        many = batch.column(4)
+        sent = many.is_valid().to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
@@ -137,26 +145,45 @@ def paired(batches, last: bool):
                     yield from done()
                 open_, grams, known = int(block[a]), np.frombuffer(batch.column(3)[a].as_py(), np.int32), []
                 a += 1
-            known.append((p[a:b].astype(np.int64), ids[a:b].astype(np.int64)))
+            one = ~sent[a:b]
+            known.append((p[a:b][one].astype(np.int64), ids[a:b][one].astype(np.int64)))
+            for at in (np.flatnonzero(sent[a:b]) + a).tolist():
+                codes = np.frombuffer(many[at].as_py(), np.int32).reshape(2, -1)
+                known.append((codes[0].astype(np.int64), codes[1] + np.int64(ids[at])))
     if open_ is not None:
         yield from done()
 
 
-def named(batches, least: int):
+def messages(block: np.ndarray, p: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A row a block: its codes ``p`` and then their ids, less the row's id."""
+    order = np.argsort(block, kind="stable")
+    block, p, ids = block[order], p[order], ids[order]
+    head = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+    size = np.diff(np.append(head, len(block)))
+    first = np.minimum.reduceat(ids, head) if len(head) else ids
+    ids = ids - np.repeat(first, size)
+    codes = [np.concatenate((p[a : a + n], ids[a : a + n])).astype(np.int32).tobytes() for a, n in zip(head.tolist(), size.tolist(), strict=True)]
+    none = pa.nulls(len(head), pa.int64())
+    return pa.record_batch([pa.array(first), none, none, none, pa.array(block[head]), pa.array(codes, pa.binary())], names=["id", "left", "right", "f", "block", "codes"])
+
+
+def named(batches, least: int, most: int = SENT):
     """Ids for pairs that occur ``least`` times or more, in all blocks together.
 
     Rows (left, right, c, block, p) come in order of the pair.  Out come one row a
-    frequent pair (its count f; no block) and one row for each block that has it
-    (its code p there).  A pair's rows are passed on as soon as it is known to be
-    frequent, so fewer than ``least`` of them are ever held."""
+    frequent pair (its count f; no block) and for the blocks that have it its code
+    p there, in :func:`messages` of about ``most`` codes together.  A pair's rows
+    are passed on as soon as it is known to be frequent, so fewer than ``least`` of
+    them are held besides."""
     from pyspark import TaskContext
 
     id_, kept = TaskContext.get().partitionId() << 40, np.zeros((0, 5), np.int64)
     open_: tuple[int, int, int, int] | None = None  # left, right, id, count so far of a frequent pair
+    sent, waiting = [], 0
 
     def whole(rows):
         a = np.array(rows, np.int64).reshape(-1, 4)
-        return pa.record_batch([pa.array(a[:, 2]), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 3]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], names=["id", "left", "right", "f", "block", "p"])
+        return pa.record_batch([pa.array(a[:, 2]), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 3]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], names=["id", "left", "right", "f", "block", "codes"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -174,13 +201,19 @@ def named(batches, least: int):
         ids[new] = id_ + np.arange(len(new))
         id_ += len(new)
         passed = np.repeat(ids, size)
-        own = rows[passed >= 0]
-        yield pa.record_batch([pa.array(passed[passed >= 0]), *(pa.nulls(len(own), pa.int64()) for _ in range(3)), pa.array(own[:, 3]), pa.array(own[:, 4], pa.int32())], names=["id", "left", "right", "f", "block", "p"])
+        own = passed >= 0
+        sent.append((rows[own, 3], rows[own, 4], passed[own]))
+        waiting += int(own.sum())
+        if waiting >= most:
+            yield messages(*map(np.concatenate, zip(*sent, strict=True)))
+            sent, waiting = [], 0
         ended = np.flatnonzero(ids[:-1] >= 0)
         yield whole(np.stack([rows[head[ended], 0], rows[head[ended], 1], ids[ended], total[ended]], axis=1))
         at = head[-1]
         open_ = (int(rows[at, 0]), int(rows[at, 1]), int(ids[-1]), int(total[-1])) if ids[-1] >= 0 else None
         kept = rows[at:] if open_ is None else rows[:0]
+    if waiting:
+        yield messages(*map(np.concatenate, zip(*sent, strict=True)))
     if open_ is not None:
         yield whole([open_])
 
@@ -201,11 +234,12 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_co
     words = start.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("p", "x")).select("block", "lang", "p", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     counted = words.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     grams = written(counted.withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    places = words.join(grams, ["lang", "word"]).select("block", "p", "id")
+    none = F.lit(None).cast("binary")
+    places = words.join(grams, ["lang", "word"]).select("block", "p", "id", none.alias("grams"), none.alias("codes"))
     level = grams.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<bigint>").alias("heads"), F.array().cast("array<bigint>").alias("tails"))
     state, found = start.select("block", "grams"), []
     for size in range(2, longest + 1):
-        rows = state.select("block", F.lit(-1).alias("p"), F.lit(None).cast("long").alias("id"), "grams").unionByName(places.select("block", "p", "id", F.lit(None).cast("binary").alias("grams")))
+        rows = state.select("block", F.lit(-1).alias("p"), F.lit(None).cast("long").alias("id"), "grams", none.alias("codes")).unionByName(places)
         last = size == longest
         dealt = rows.repartition("block").sortWithinPartitions("block", "p")
         pairs = dealt.mapInArrow(lambda b, last=last: paired(b, last), PAIRED)
@@ -215,7 +249,8 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_co
             pairs = written(pairs, "pairs")
             ordered = pairs.where("grams IS NULL").select("left", "right", "c", "block", "p").repartition("left", "right").sortWithinPartitions("left", "right")
             both = written(ordered.mapInArrow(lambda b: named(b, least), NAMED), "named-pairs")
-            names, places = both.where("block IS NULL").select("id", "left", "right", "f"), both.where("block IS NOT NULL").select("block", "p", "id")
+            names = both.where("block IS NULL").select("id", "left", "right", "f")
+            places = both.where("block IS NOT NULL").select("block", F.lit(0).alias("p"), "id", none.alias("grams"), "codes")
             state = pairs.where("grams IS NOT NULL").select("block", "grams")
         names = written(names.select("id", "left", "right", "f"), "names")
         one, two = (level.select(*(F.col(c).alias(f"{s}_{c}") for c in level.columns)) for s in ("l", "r"))
