@@ -10,9 +10,10 @@ longer phrases that hold a phrase, are found by joins on ids, never on words.
 Texts are coded once in blocks of one language: a block has its own dictionary,
 so that exchanges carry each distinct word or pair of a block once, with its
 count, whatever a word's frequency.  A pair's rows are then at most the blocks.
-A task that names pairs answers each block by messages of many ids, eight bytes
-each, since the rows of frequent pairs grow faster than the texts until most
-pairs are frequent.
+A task that names pairs answers each block by messages of many ids, since the
+rows of frequent pairs grow faster than the texts until most pairs are frequent.
+A block's codes follow the order of ids, so that its rows and messages ascend
+and their differences are small.
 
 A phrase is a candidate if it occurs LEAST times or more; so are all its parts,
 which is why infrequent words and pairs take no further part, and why a phrase
@@ -117,12 +118,13 @@ def paired(batches, last: bool):
 
     def done():
         p, ids = (np.concatenate([x[k] for x in known] or [np.zeros(0, np.int64)]) for k in range(2))
-        size = int(grams.max(initial=-1)) + 2
-        id_of = np.full(size, -1, np.int64)  # the last code stands for none
-        id_of[p] = ids
-        real = id_of[grams] >= 0
-        both = real[:-1] & real[1:]
-        keys, inverse, counts = np.unique(grams[:-1][both].astype(np.int64) * size + grams[1:][both], return_inverse=True, return_counts=True)
+        order = np.argsort(ids)
+        ids, size = ids[order], len(ids)
+        rank_of = np.full(int(grams.max(initial=-1)) + 2, -1, np.int64)  # the last code stands for none
+        rank_of[p[order]] = np.arange(size)
+        ranks = rank_of[grams]
+        both = (ranks[:-1] >= 0) & (ranks[1:] >= 0)
+        keys, inverse, counts = np.unique(ranks[:-1][both] * size + ranks[1:][both], return_inverse=True, return_counts=True)
         if not last:
             after = np.full(len(grams), -1, np.int32)
             after[:-1][both] = inverse
@@ -130,10 +132,10 @@ def paired(batches, last: bool):
             yield pa.record_batch([pa.array([open_]), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array([after.tobytes()], pa.binary())], names=names)
         for at in range(0, len(keys), 1 << 18):
             k = keys[at : at + (1 << 18)]
-            yield pa.record_batch([pa.array(np.full(len(k), open_)), pa.array(np.arange(at, at + len(k)), pa.int32()), pa.array(id_of[k // size]), pa.array(id_of[k % size]), pa.array(counts[at : at + len(k)]), pa.nulls(len(k), pa.binary())], names=names)
+            yield pa.record_batch([pa.array(np.full(len(k), open_)), pa.array(np.arange(at, at + len(k)), pa.int32()), pa.array(ids[k // size]), pa.array(ids[k % size]), pa.array(counts[at : at + len(k)]), pa.nulls(len(k), pa.binary())], names=names)
 
     for batch in batches:
-        block, p, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        block, p, ids = (pc.fill_null(batch.column(k), -1).to_numpy(zero_copy_only=False) for k in range(3))  # nulls would make floats of ids
         many = batch.column(4)
         sent = many.is_valid().to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
@@ -148,12 +150,25 @@ def paired(batches, last: bool):
             one = ~sent[a:b]
             known.append((p[a:b][one].astype(np.int64), ids[a:b][one].astype(np.int64)))
             for at in (np.flatnonzero(sent[a:b]) + a).tolist():
-                codes = np.frombuffer(many[at].as_py(), np.int32).reshape(2, -1)
-                known.append((codes[0].astype(np.int64), codes[1] + np.int64(ids[at])))
+                codes, more = unpacked(many[at].as_py())
+                known.append((codes, more + ids[at]))
     if open_ is not None:
         yield from done()
 
 
+def packed(p: np.ndarray, more: np.ndarray) -> bytes:
+    """Both columns by their differences, lowest bytes first, then the next: where
+    differences are small the rest is zeros, which Spark's codec makes short."""
+    steps = np.diff(np.stack((p, more)), axis=1, prepend=0).astype("<i4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(codes: bytes) -> np.ndarray:
+    """What :func:`packed` was given, as two rows."""
+    steps = np.frombuffer(codes, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(2, -1)
+    return steps.cumsum(axis=1, dtype=np.int64)
+
+
 def messages(block: np.ndarray, p: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """A row a block: its codes ``p`` and then their ids, less the row's id."""
     order = np.argsort(block, kind="stable")
@@ -162,7 +177,7 @@ def messages(block: np.ndarray, p: np.ndarray, ids: np.ndarray) -> pa.RecordBatc
     size = np.diff(np.append(head, len(block)))
     first = np.minimum.reduceat(ids, head) if len(head) else ids
     ids = ids - np.repeat(first, size)
-    codes = [np.concatenate((p[a : a + n], ids[a : a + n])).astype(np.int32).tobytes() for a, n in zip(head.tolist(), size.tolist(), strict=True)]
+    codes = [packed(p[a : a + n], ids[a : a + n]) for a, n in zip(head.tolist(), size.tolist(), strict=True)]
     none = pa.nulls(len(head), pa.int64())
     return pa.record_batch([pa.array(first), none, none, none, pa.array(block[head]), pa.array(codes, pa.binary())], names=["id", "left", "right", "f", "block", "codes"])
 
